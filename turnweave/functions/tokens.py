@@ -24,8 +24,12 @@ def advisor_model(iterations: Column) -> Column:
     return F.get(F.filter(iterations, lambda i: i["type"] == "advisor_message"), 0)["model"]
 
 
+# Prices in whole units of 1e-8 USD per token: sums stay exact and do not depend on their order.
+UNITS_PER_USD = 1e8
+
+
 def pricing(model: Column) -> Column:
-    """Price struct (input, output, cache_read, cache_write) of a model name."""
+    """Price struct (input, output, cache_read, cache_write) of a model name, in USD per million."""
     name = F.lower(F.coalesce(model, F.lit("")))
 
     def struct(p):
@@ -37,10 +41,15 @@ def pricing(model: Column) -> Column:
     return expr.otherwise(struct(DEFAULT_PRICE))
 
 
-def cost_usd(model: Column, inp: Column, out: Column, read: Column, write: Column) -> Column:
+def cost_units(model: Column, inp: Column, out: Column, read: Column, write: Column) -> Column:
+    """Cost in price units, a whole number."""
     p = pricing(model)
-    total = inp * p["input"] + out * p["output"] + read * p["cache_read"] + write * p["cache_write"]
-    return total / F.lit(1e6)
+    unit = lambda n: F.round(p[n] * 100).cast("bigint")
+    return inp * unit("input") + out * unit("output") + read * unit("cache_read") + write * unit("cache_write")
+
+
+def usd(units: Column) -> Column:
+    return units / F.lit(UNITS_PER_USD)
 
 
 def estimate_output_tokens(blocks: Column) -> Column:

@@ -218,15 +218,15 @@ def token_totals(entries: DataFrame, mode: str = "catalogue") -> DataFrame:
     """
     c = F.col
     rows = token_rows(entries, mode)
-    priced = tokens.cost_usd(c("model"), *[c(u) for u in USAGE])
-    best = best_snapshots(rows).select(SID, *USAGE, priced.alias("cost_usd"))
+    priced = tokens.cost_units(c("model"), *[c(u) for u in USAGE])
+    best = best_snapshots(rows).select(SID, *USAGE, priced.alias("units"))
     paid = F.lit(True) if mode == "live" else (c("agent_id") != "")
-    loose_cost = F.when(paid, tokens.cost_usd(F.lit(""), *[c(u) for u in USAGE])).otherwise(0.0)
-    loose = rows.filter(c("request_id") == "").select(SID, *USAGE, loose_cost.alias("cost_usd"))
+    loose_cost = F.when(paid, tokens.cost_units(F.lit(""), *[c(u) for u in USAGE])).otherwise(0)
+    loose = rows.filter(c("request_id") == "").select(SID, *USAGE, loose_cost.cast("bigint").alias("units"))
     return (
         best.unionByName(loose)
         .groupBy(SID)
-        .agg(*[F.sum(u).alias(u) for u in USAGE], F.sum("cost_usd").alias("cost_usd"))
+        .agg(*[F.sum(u).alias(u) for u in USAGE], tokens.usd(F.sum("units")).alias("cost_usd"))
         .withColumn("total_tokens", sum((c(u) for u in USAGE[1:]), c(USAGE[0])))
     )
 
@@ -238,7 +238,7 @@ def model_usage(entries: DataFrame, mode: str = "catalogue") -> DataFrame:
     return best.groupBy(SID, "model").agg(
         F.count(F.lit(1)).alias("requests"),
         *[F.sum(u).alias(u) for u in USAGE],
-        F.sum(tokens.cost_usd(c("model"), *[c(u) for u in USAGE])).alias("cost_usd"),
+        tokens.usd(F.sum(tokens.cost_units(c("model"), *[c(u) for u in USAGE]))).alias("cost_usd"),
     )
 
 

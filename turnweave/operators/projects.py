@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import display
-from ..plans.runtime import durable
+from ..plans.runtime import durable, stage
 
 SID = "session_id"
 
@@ -172,7 +172,6 @@ def flatten_tree(tree: DataFrame, collapsed: Collection[str] = (), total: DataFr
     front = nodes.filter("parent_key is null").withColumns(
         {"depth": F.lit(0), "path": F.array(step(1, c("name"), c("key"))), "in_group": F.lit(False), "shown": c("name")}
     )
-    front = durable(front)
     rows = row(front, c("key"), c("shown"), c("depth"), False, c("has_children"), c("path"))
     while True:
         open_nodes = front.filter(c("has_children") & ~closed(c("key"))).select(
@@ -180,9 +179,7 @@ def flatten_tree(tree: DataFrame, collapsed: Collection[str] = (), total: DataFr
         )
         kids = nodes.join(open_nodes, "parent_key")
         kind = F.when(~c("__in"), display.worktree_kind(c("parent_key"), c("key")))
-        kids = durable(kids.withColumn("kind", kind))
-        if kids.isEmpty():
-            break
+        kids = kids.withColumn("kind", kind)
         grouped = kids.filter("kind is not null")
         heads = (
             grouped.groupBy("parent_key", "kind", "__d")
@@ -195,7 +192,6 @@ def flatten_tree(tree: DataFrame, collapsed: Collection[str] = (), total: DataFr
             .withColumn("group_key", F.concat(F.lit("__group:"), c("kind"), F.lit(":"), c("parent_key")))
             .withColumn("path", F.array_append("__p", step(0, c("first_name"), c("group_key"))))
         )
-        heads = durable(heads)
         rows = rows.unionByName(row(heads, c("group_key"), c("kind"), c("__d") + 1, True, F.lit(True), c("path")))
         inside = (
             grouped.drop("__p")
@@ -213,7 +209,10 @@ def flatten_tree(tree: DataFrame, collapsed: Collection[str] = (), total: DataFr
             {"shown": c("name"), "depth": c("__d") + 1, "path": F.array_append("__p", step(1, c("name"), c("key"))), "in_group": F.lit(False)}
         )
         keep = [*nodes.columns, "depth", "path", "in_group", "shown"]
+        # a collapsed group has a head but nothing inside, so the heads are added first
         front = durable(inside.select(*keep).unionByName(plain.select(*keep)))
+        if front.isEmpty():
+            break
         rows = rows.unionByName(row(front, c("key"), c("shown"), c("depth"), False, c("has_children"), c("path")))
     if total is not None:
         top = total.agg(F.count(F.lit(1)).alias("session_count"), F.lit(False).alias("has_ongoing"))
@@ -228,4 +227,4 @@ def flatten_tree(tree: DataFrame, collapsed: Collection[str] = (), total: DataFr
 
 def flat_items(sessions: DataFrame, collapsed: Collection[str] = ()) -> DataFrame:
     """Project rows of the catalogue in display order, "All Projects" on top."""
-    return flatten_tree(project_tree(project_nodes(sessions)), collapsed, sessions)
+    return flatten_tree(project_tree(stage(project_nodes(sessions))), collapsed, sessions)
