@@ -28,6 +28,7 @@ _BUILD = {
     "chunked": lambda s, d: chunks.assign_chunks(classify.classify(_staged(s, d, "entries"))),
     "items": lambda s, d: chunks.build_items(classify.explode_blocks(_staged(s, d, "chunked"))),
     "talk_chunked": lambda s, d: chunks.assign_chunks(classify.classify(_staged(s, d, "talk"))),
+    "talk_items": lambda s, d: chunks.build_items(classify.explode_blocks(_staged(s, d, "talk_chunked"))),
     "debug": lambda s, d: debug.parse_debug(adapters.debug_lines(s, d)),
 }
 
@@ -53,8 +54,7 @@ def _messages(s, d):
 
 def _talk_messages(s, d):
     c = _staged(s, d, "talk_chunked")
-    items = chunks.build_items(classify.explode_blocks(c))
-    return messages.to_messages(chunks.merge_chunks(c), items, chunks.chunk_texts(c))
+    return messages.to_messages(chunks.merge_chunks(c), _staged(s, d, "talk_items"), chunks.chunk_texts(c))
 
 
 def _sessions(s, d):
