@@ -138,18 +138,85 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_identity(lines: DataFrame) -> DataFrame:
     """File identity for lines that come from no file."""
+    agent = F.col("agent_id") if "agent_id" in lines.columns else F.lit("")
     return lines.select(
         "session_id",
-        F.lit("").alias("agent_id"),
+        agent.alias("agent_id"),
         "line_no",
         F.concat(F.lit("/home/u/.claude/projects/-repo/"), F.col("session_id"), F.lit(".jsonl")).alias("path"),
         F.lit("-repo").alias("project_key"),
-        F.lit("main").alias("file_role"),
+        F.when(agent == "", "main").otherwise("subagent").alias("file_role"),
         F.timestamp_seconds(F.lit(1767225600)).alias("mtime"),
         "value",
     )
 
 
+def agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as lead sessions with sub-agents and teams.
+
+    view: agent call, some of them named team members; click: a sub-agent file of its own; purchase:
+    result that tells which agent ran; error: team tool call; signup: user text.
+    """
+    c = F.col
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.concat(F.lit("u"), _s(c("user_id"))).alias("session_id"), c("event_id").alias("eid"), "event_type",
+        c("ts").cast("timestamp").alias("ts"), F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"),
+    )
+    e = ordered_scan(
+        ev, ["session_id"], "eid",
+        before={"v": F.when(c("event_type") == "view", c("eid")), "g": F.when(c("event_type") == "click", c("eid"))},
+    )
+    eid, k, et = c("eid"), c("k"), c("event_type")
+    num = lambda prefix, x: F.concat(F.lit(prefix), _s(x))
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    text_block = F.array(F.struct(F.lit("text").alias("type"), F.lit("ok").alias("text")))
+    spawn = F.struct(
+        num("d", k % 5).alias("description"), F.when(k % 4 == 0, num("n", k % 3)).alias("name"), F.when(k % 4 == 0, num("T", k % 2)).alias("team_name")
+    )
+    team_tool = _pick(["TeamCreate", "TaskCreate", "TaskUpdate", "TaskUpdate", "TaskCreate", "TeamDelete"], k % 6)
+    team_arg = F.struct(
+        F.when(k % 6 == 0, num("T", k % 2)).alias("team_name"), F.when(k % 6 == 0, num("about ", k)).alias("description"),
+        num("sub", eid).alias("subject"), _s(k % 4 + 1).alias("taskId"),
+        F.when(k % 5 != 0, num("s", k % 3)).alias("status"), F.when(k % 5 == 1, num("o", k % 7)).alias("owner"),
+    )
+    call = lambda name, inp: F.array(
+        F.struct(F.lit("tool_use").alias("type"), num("t", eid).alias("id"), name.alias("name"), inp.alias("input"))
+    )
+    line = lambda kind, ts, content, *more: F.to_json(
+        F.struct(
+            F.lit(kind).alias("type"), num("e", eid).alias("uuid"), stamp(ts).alias("timestamp"), *more,
+            F.struct(F.lit(kind).alias("role"), content.alias("content")).alias("message"),
+        )
+    )
+    told = F.struct(num("g", c("g")).alias("agentId"), num("q", k % 3).alias("color"))
+    reply = F.array(F.struct(F.lit("tool_result").alias("type"), num("t", c("v")).alias("tool_use_id"), F.lit("done").alias("content")))
+    linked = (et == "purchase") & (k % 2 == 0) & c("v").isNotNull() & c("g").isNotNull()
+    main_value = (
+        F.when(et == "signup", line("user", c("ts"), num("hello ", eid)))
+        .when(et == "view", line("assistant", c("ts"), call(F.lit("Agent"), spawn)))
+        .when(et == "error", line("assistant", c("ts"), call(team_tool, team_arg)))
+        .when(linked, line("user", c("ts"), reply, told.alias("toolUseResult")))
+        .when(c("v").isNotNull(), line("user", c("ts"), reply))
+    )
+    main = e.filter(et != "click").select("session_id", F.lit("").alias("agent_id"), c("eid").alias("line_no"), main_value.alias("value"))
+    opening = F.when(
+        k % 3 == 0,
+        F.concat(F.lit('<teammate-message teammate_id="z" summary="d'), _s(k % 5), F.lit('" color="c'), _s(k % 2), F.lit('">hi</teammate-message>')),
+    ).otherwise(num("prompt ", eid))
+    later = c("ts") + F.expr("interval 1 second")
+    own = F.struct(_s(k % 4 + 1).alias("taskId"), F.lit("w").alias("status"))
+    agent_values = F.array(
+        line("user", c("ts"), opening),
+        line("assistant", later, text_block),
+        F.when(k % 6 == 1, line("assistant", later, call(F.lit("TaskUpdate"), own))),
+    )
+    agent = e.filter(et == "click").select(
+        "session_id", num("g", eid).alias("agent_id"), F.posexplode(agent_values).alias("line_no", "value")
+    )
+    both = main.unionByName(agent.withColumn("line_no", c("line_no").cast("bigint"))).filter("value is not null")
+    return with_identity(both)
+
+
 def debug_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user a debug log: errors and views are entries, signups hook runs, purchases extra lines."""
     c = F.col

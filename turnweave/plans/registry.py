@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, text, tools
-from ..operators import catalogue, chain, chunks, classify, debug, messages, ongoing, picker, projects, usage
+from ..operators import catalogue, chain, chunks, classify, debug, messages, ongoing, picker, projects, subagents, teams, usage
 from ..operators.entries import parse_entries
 from . import adapters, twins
 from .runtime import stage
@@ -33,6 +33,45 @@ _BUILD = {
 }
 
 
+_BUILD |= {
+    "agent_entries": lambda s, d: parse_entries(adapters.agent_lines(s, d)),
+    "lead_chunked": lambda s, d: chunks.assign_chunks(classify.classify(_main(_staged(s, d, "agent_entries")))),
+    "lead_items": lambda s, d: chunks.build_items(classify.explode_blocks(_staged(s, d, "lead_chunked"))),
+    "proc_chunked": lambda s, d: chunks.assign_chunks(classify.classify(_procs(s, d), subagents=True)),
+    "proc_items": lambda s, d: chunks.build_items(classify.explode_blocks(_staged(s, d, "proc_chunked"))),
+    "profiles": lambda s, d: subagents.subagent_profile(
+        _procs(s, d), _staged(s, d, "proc_chunked"), chunks.merge_chunks(_staged(s, d, "proc_chunked"))
+    ),
+    "linked": lambda s, d: subagents.link_subagents(
+        _staged(s, d, "profiles"), _staged(s, d, "lead_items"), _staged(s, d, "proc_items"), _staged(s, d, "agent_entries"), _procs(s, d)
+    ),
+}
+
+
+def _main(entries: DataFrame) -> DataFrame:
+    return entries.filter(F.col("agent_id") == "")
+
+
+def _procs(s, d):
+    return subagents.process_entries(_staged(s, d, "agent_entries"))
+
+
+def _with_orphans(s, d):
+    lead = chunks.merge_chunks(_staged(s, d, "lead_chunked"))
+    return subagents.inject_orphans(lead, _staged(s, d, "lead_items"), _staged(s, d, "linked"))
+
+
+def _edges(s, d):
+    _, items, procs = _with_orphans(s, d)
+    return subagents.agent_edges(items.unionByName(_staged(s, d, "proc_items")), procs)
+
+
+def _agent_state(s, d):
+    now = F.timestamp_seconds(F.lit(1767225630))
+    c = _staged(s, d, "proc_chunked")
+    return ongoing.subagent_ongoing(chunks.merge_chunks(c), _staged(s, d, "proc_items"), c, _staged(s, d, "profiles"), now)
+
+
 def _on(name: str, fn):
     return lambda s, d: fn(_staged(s, d, name))
 
@@ -175,6 +214,31 @@ QUERIES = {
     "j08_flat_items": lambda s, d: projects.flat_items(_sessions(s, d)).select(
         "key", "name", "count", "ongoing", "depth", "is_group", "has_children", "is_expanded"
     ),
+    "l01_agent_links": _on("agent_entries", lambda e: subagents.agent_links(e)[0]),
+    "l10_profiles": _on("profiles", lambda p: p.select(
+        "session_id", "agent_id", "prompt", "has_end_marker", "team_summary", "teammate_color", "duration_ms"
+    )),
+    "l07_linked_agents": _on("linked", lambda p: p.select(
+        "session_id", "agent_id", "proc_id", "parent_task_id", "description", "teammate_color"
+    )),
+    "l08_orphan_items": lambda s, d: _with_orphans(s, d)[1].filter("tool_id like 'orphan-%'").select(
+        "session_id", "chunk_no", "tool_id", "subagent_desc", "item_type", "is_orphan", "duration_ms"
+    ),
+    "l12_agent_edges": _edges,
+    "m03_attached_agents": lambda s, d: messages.attach_subagents(
+        _with_orphans(s, d)[1], _edges(s, d), _with_orphans(s, d)[2],
+        _agent_state(s, d).withColumnRenamed("ongoing", "ongoing_deep"), subagents.agent_links(_staged(s, d, "agent_entries"))[1],
+    ).filter("proc_id <> ''").select("session_id", "tool_id", "proc_id", "subagent_prompt", "subagent_ongoing"),
+    "o05_subagent_ongoing": _agent_state,
+    "o06_ongoing_deep": lambda s, d: ongoing.subagent_ongoing_deep(_agent_state(s, d), _edges(s, d)),
+    "t01_teams": _on("lead_items", teams.teams),
+    "t03_team_tasks": lambda s, d: teams.team_tasks(_staged(s, d, "lead_items"), _staged(s, d, "linked"), _staged(s, d, "proc_items")),
+    "t05_team_members": _on("lead_items", teams.team_members),
+    "t06_member_state": lambda s, d: teams.member_state(
+        teams.teams(_staged(s, d, "lead_items")), _staged(s, d, "linked"),
+        ongoing.chunks_ongoing(chunks.merge_chunks(_staged(s, d, "proc_chunked")), _staged(s, d, "proc_items")),
+    ),
+    "t07_active_teams": _on("lead_items", lambda i: teams.active_teams(teams.teams(i)).select("session_id", "team_no", "name")),
     "x01_tool_usage": _on("items", usage.tool_usage),
     "x06_edit_churn": _on("items", usage.edit_churn),
     "x06_line_churn": _churn,

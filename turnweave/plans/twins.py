@@ -250,7 +250,85 @@ mid AS (
 )"""
 )
 
+AGENTS = """a0 AS (
+  SELECT 'u' || CAST(user_id AS VARCHAR) AS session_id, event_id AS eid, ts, event_type AS et, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
+    last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS v,
+    last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS g
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), told AS (
+  SELECT session_id, eid, 'g' || CAST(g AS VARCHAR) AS agent, 't' || CAST(v AS VARCHAR) AS tool_id, 'q' || CAST(k % 3 AS VARCHAR) AS color
+  FROM a0 WHERE et = 'purchase' AND k % 2 = 0 AND v IS NOT NULL AND g IS NOT NULL
+), links AS (SELECT session_id, agent, arg_max(tool_id, eid) AS tool_id FROM told GROUP BY 1, 2),
+colors AS (SELECT session_id, tool_id, arg_max(color, eid) AS color FROM told GROUP BY 1, 2),
+tasks AS (
+  SELECT session_id, eid, 't' || CAST(eid AS VARCHAR) AS tool_id, 'd' || CAST(k % 5 AS VARCHAR) AS descr, k % 4 = 0 AS team,
+    'n' || CAST(k % 3 AS VARCHAR) AS name, 'T' || CAST(k % 2 AS VARCHAR) AS team_name FROM a0 WHERE et = 'view'
+), procs AS (
+  SELECT session_id, 'g' || CAST(eid AS VARCHAR) AS agent_id, eid, ts, k, CASE WHEN k % 3 = 0 THEN 'd' || CAST(k % 5 AS VARCHAR) ELSE '' END AS summary,
+    CASE WHEN k % 3 = 0 THEN 'c' || CAST(k % 2 AS VARCHAR) ELSE '' END AS own_color, CASE WHEN k % 3 = 0 THEN '' ELSE 'prompt ' || CAST(eid AS VARCHAR) END AS prompt
+  FROM a0 WHERE et = 'click'
+), p1 AS (SELECT p.*, l.tool_id AS link FROM procs p LEFT JOIN links l ON l.session_id = p.session_id AND l.agent = p.agent_id),
+ft AS (SELECT * FROM tasks WHERE (session_id, tool_id) NOT IN (SELECT session_id, link FROM p1 WHERE link IS NOT NULL)),
+p2a AS (SELECT *, row_number() OVER (PARTITION BY session_id, summary ORDER BY ts, agent_id) AS i FROM p1 WHERE link IS NULL AND summary <> ''),
+p2b AS (SELECT *, row_number() OVER (PARTITION BY session_id, descr ORDER BY eid) AS i FROM ft WHERE team),
+p2 AS (SELECT a.session_id, a.agent_id, b.tool_id FROM p2a a JOIN p2b b ON a.session_id = b.session_id AND a.summary = b.descr AND a.i = b.i),
+p3a AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, agent_id) AS i FROM p1 WHERE link IS NULL AND (session_id, agent_id) NOT IN (SELECT session_id, agent_id FROM p2)),
+p3b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY eid) AS i FROM ft WHERE NOT team),
+p3 AS (SELECT a.session_id, a.agent_id, b.tool_id FROM p3a a JOIN p3b b ON a.session_id = b.session_id AND a.i = b.i),
+ln AS (
+  SELECT p1.*, coalesce(link, p2.tool_id, p3.tool_id, '') AS parent FROM p1 LEFT JOIN p2 USING (session_id, agent_id) LEFT JOIN p3 USING (session_id, agent_id)
+), linked AS (
+  SELECT ln.*, coalesce(t.descr, '') AS descr, CASE WHEN own_color <> '' THEN own_color ELSE coalesce(c.color, '') END AS color,
+    CASE WHEN t.team THEN t.name || '@' || t.team_name ELSE agent_id END AS proc_id, CASE WHEN t.team THEN t.name END AS member, CASE WHEN t.team THEN t.team_name END AS team_name
+  FROM ln LEFT JOIN tasks t ON t.session_id = ln.session_id AND t.tool_id = parent LEFT JOIN colors c ON c.session_id = ln.session_id AND c.tool_id = parent
+), ac AS (
+  SELECT session_id, max(n) FILTER (WHERE kind = 'ai') AS ai, max(n) AS top FROM (
+    SELECT session_id, kind, sum(st) OVER (PARTITION BY session_id ORDER BY eid ROWS UNBOUNDED PRECEDING) - 1 AS n FROM (
+      SELECT *, CASE WHEN kind = 'ai' AND lag(kind) OVER (PARTITION BY session_id ORDER BY eid) = 'ai' THEN 0 ELSE 1 END AS st FROM (
+        SELECT session_id, eid, CASE WHEN et = 'signup' THEN 'user' ELSE 'ai' END AS kind FROM a0 WHERE et <> 'click' AND NOT (et = 'purchase' AND v IS NULL)))) GROUP BY 1
+), tv AS (
+  SELECT *, CASE WHEN act = 'TeamCreate' OR op = 1 THEN n ELSE 0 END AS team_no FROM (
+    SELECT *, CAST(sum(CASE WHEN act = 'TeamCreate' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY eid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n,
+      last_value(CASE WHEN act = 'TeamCreate' THEN 1 WHEN act = 'TeamDelete' THEN 0 END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS op
+    FROM (SELECT session_id, eid, k, CASE WHEN et = 'view' THEN 'spawn' ELSE (['TeamCreate', 'TaskCreate', 'TaskUpdate', 'TaskUpdate', 'TaskCreate', 'TeamDelete'])[k % 6 + 1] END AS act
+      FROM a0 WHERE et = 'error' OR (et = 'view' AND k % 4 = 0)))
+), tm AS (
+  SELECT session_id, team_no, 'T' || CAST(k % 2 AS VARCHAR) AS name, 'about ' || CAST(k AS VARCHAR) AS description, eid,
+    (session_id, team_no) IN (SELECT session_id, team_no FROM tv WHERE act = 'TeamDelete' AND team_no > 0) AS deleted FROM tv WHERE act = 'TeamCreate'
+), ftm AS (SELECT session_id, name AS team_name, min(team_no) AS team_no, arg_min(eid, team_no) AS eid FROM tm GROUP BY 1, 2),
+tk AS (
+  SELECT session_id, team_no, CAST(row_number() OVER (PARTITION BY session_id, team_no ORDER BY eid) AS VARCHAR) AS task_id, eid AS made, 'sub' || CAST(eid AS VARCHAR) AS subject
+  FROM tv WHERE act = 'TaskCreate' AND team_no > 0
+), up AS (
+  SELECT tv.session_id, tv.team_no, task_id, CASE WHEN k % 5 <> 0 THEN 's' || CAST(k % 3 AS VARCHAR) ELSE '' END AS status, CASE WHEN k % 5 = 1 THEN 'o' || CAST(k % 7 AS VARCHAR) ELSE '' END AS owner,
+    'sub' || CAST(eid AS VARCHAR) AS subject, '' AS member, 0 AS phase, eid AS o FROM tv JOIN tk ON tk.session_id = tv.session_id AND tk.team_no = tv.team_no
+    AND task_id = CAST(k % 4 + 1 AS VARCHAR) AND made < eid WHERE act = 'TaskUpdate' AND tv.team_no > 0
+  UNION ALL SELECT l.session_id, f.team_no, CAST(k % 4 + 1 AS VARCHAR), 'w', '', '', member, 1, row_number() OVER (ORDER BY l.ts, l.agent_id)
+  FROM linked l JOIN ftm f ON f.session_id = l.session_id AND f.team_name = l.team_name WHERE k % 6 = 1
+)"""
+
 SQL = {
+    "l01_agent_links": _w(AGENTS, "SELECT session_id, agent, tool_id FROM links"),
+    "l10_profiles": _w(AGENTS, """SELECT session_id, agent_id, prompt, false AS has_end_marker, summary AS team_summary, own_color AS teammate_color, CAST(1000 AS BIGINT) AS duration_ms FROM procs"""),
+    "l07_linked_agents": _w(AGENTS, "SELECT session_id, agent_id, proc_id, parent AS parent_task_id, descr AS description, color AS teammate_color FROM linked"),
+    "l08_orphan_items": _w(AGENTS, """SELECT l.session_id, CAST(coalesce(ai, top + 1, 0) AS BIGINT) AS chunk_no, 'orphan-' || agent_id AS tool_id, prompt AS subagent_desc, 'Subagent' AS item_type,
+      true AS is_orphan, CAST(1000 AS BIGINT) AS duration_ms FROM linked l LEFT JOIN ac USING (session_id) WHERE parent = ''"""),
+    "l12_agent_edges": _w(AGENTS, """SELECT session_id, '' AS parent_agent, CASE WHEN parent = '' THEN 'orphan-' || agent_id ELSE parent END AS tool_id,
+      last(agent_id ORDER BY ts, agent_id) AS child_agent FROM linked GROUP BY 1, 3"""),
+    "m03_attached_agents": _w(AGENTS, """SELECT session_id, CASE WHEN parent = '' THEN 'orphan-' || agent_id ELSE parent END AS tool_id, last(proc_id ORDER BY ts, agent_id) AS proc_id,
+      last(prompt ORDER BY ts, agent_id) AS subagent_prompt, last(k % 6 = 1 ORDER BY ts, agent_id) AS subagent_ongoing FROM linked GROUP BY 1, 2"""),
+    "o05_subagent_ongoing": _w(AGENTS, "SELECT session_id, agent_id, k % 6 = 1 AS ongoing FROM procs"),
+    "o06_ongoing_deep": _w(AGENTS, "SELECT session_id, agent_id, k % 6 = 1 AS ongoing_deep FROM procs"),
+    "t01_teams": _w(AGENTS, "SELECT session_id, team_no, name, description, deleted, eid * 1048576 AS created_ord FROM tm"),
+    "t07_active_teams": _w(AGENTS, "SELECT session_id, team_no, name FROM tm WHERE NOT deleted"),
+    "t03_team_tasks": _w(AGENTS, """SELECT tk.session_id, tk.team_no, tk.task_id, coalesce(u.subject, tk.subject) AS subject, coalesce(status, 'pending') AS status, coalesce(owner, taker, '') AS owner
+      FROM tk LEFT JOIN (SELECT session_id, team_no, task_id, last(status ORDER BY phase, o) FILTER (WHERE status <> '') AS status, last(owner ORDER BY phase, o) FILTER (WHERE owner <> '') AS owner,
+        last(subject ORDER BY phase, o) FILTER (WHERE subject <> '') AS subject, first(member ORDER BY phase, o) FILTER (WHERE member <> '') AS taker FROM up GROUP BY 1, 2, 3) u
+      USING (session_id, team_no, task_id)"""),
+    "t05_team_members": _w(AGENTS, """SELECT t.session_id, f.team_no, t.name AS member, min(t.eid) * 1048576 AS first_ord FROM tasks t JOIN ftm f ON f.session_id = t.session_id AND f.team_name = t.team_name
+      WHERE t.team AND f.eid < t.eid GROUP BY 1, 2, 3"""),
+    "t06_member_state": _w(AGENTS, """SELECT tm.session_id, tm.team_no, member, coalesce(last(color ORDER BY l.ts, agent_id) FILTER (WHERE color <> ''), '') AS color, bool_or(k % 6 = 1) AS ongoing
+      FROM tm JOIN linked l ON l.session_id = tm.session_id AND l.team_name = tm.name GROUP BY 1, 2, 3"""),
     "s11_messages_json": _w(TALK, "SELECT session_id, msg_no, '{\"role\":' || to_json(role) || ',\"content\":' || to_json(content) || '}' AS value FROM tm"),
     "c21_rule_counts": _w(EVENTS, """SELECT rule, count(*) AS lines, rule = 'sidechain' AS dropped FROM (
       SELECT CASE WHEN side THEN 'sidechain' WHEN et = 'signup' THEN 'user' WHEN speaks THEN 'assistant' ELSE 'meta' END AS rule FROM e) GROUP BY rule"""),
