@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx, text
 from ..plans.ordered import ordered_scan
+from ..plans.runtime import stage
 from .chunks import CHUNK, millis_between
 from .classify import BLOCK_STRIDE, SYNTHETIC, USAGE
 from .entries import IDENTITY
@@ -216,16 +217,16 @@ def link_subagents(
     c = F.col
     told, colors = agent_links(entries)
     skill = skill_links(process_lines, procs).join(told, [SID, "agent"], "left_anti")
-    links = told.unionByName(skill)
+    links = stage(told.unionByName(skill))
     linked_tools = links.select(SID, "tool_id").distinct()
-    tasks = _task_items(main_items.filter(c("agent_id") == ""), linked_tools)
+    tasks = stage(_task_items(main_items.filter(c("agent_id") == ""), linked_tools))
     fields = ["tool_id", "subagent_desc", "subagent_type", "is_team_task", "team_name", "agent_name"]
     by_tool = tasks.groupBy(SID, "tool_id").agg(F.max_by(F.struct(*fields[1:]), "ord").alias("task"))
 
     # 1: by link
     named = procs.join(links.select(SID, c("agent").alias("proc_id"), c("tool_id").alias("link")), [SID, "proc_id"], "left")
     hit = by_tool.select(SID, c("tool_id").alias("link"), c("task").alias("linked"))
-    base = named.join(hit, [SID, "link"], "left")
+    base = stage(named.join(hit, [SID, "link"], "left"))
     used = base.filter(c("linked").isNotNull()).select(SID, c("link").alias("tool_id")).distinct()
     free_tasks = tasks.join(used, [SID, "tool_id"], "left_anti")
     free = base.filter(c("link").isNull())
@@ -235,6 +236,7 @@ def link_subagents(
     ranked = rank_processes(summarised, [SID, "team_summary"], "i").select(*IDENTITY, "team_summary", "i")
     calls = _rank_items(free_tasks.filter("is_team_task").withColumn("team_summary", c("subagent_desc")), [SID, "team_summary"], "i")
     team = ranked.join(calls.drop("agent_id"), [SID, "team_summary", "i"]).select(*IDENTITY, F.struct(*fields).alias("p"))
+    team = stage(team)
 
     # 3: the i-th process left over gets the i-th other call
     rest = free.join(team, IDENTITY, "left_anti").select(*IDENTITY, "is_team", "start_time")
@@ -245,7 +247,7 @@ def link_subagents(
     pick = base.join(team.unionByName(placed), IDENTITY, "left")
     parent = F.coalesce("link", c("p")["tool_id"], F.lit(""))
     found = c("linked").isNotNull() | c("p").isNotNull()
-    linked = pick.withColumns(
+    linked = stage(pick).withColumns(
         {
             "parent_task_id": parent,
             "description": F.when(found, F.coalesce(c("linked")["subagent_desc"], c("p")["subagent_desc"])).otherwise(c("description")),
@@ -259,7 +261,7 @@ def link_subagents(
     nested = inner.groupBy(SID, c("tool_id").alias("parent_task_id")).agg(
         F.max_by(F.struct("subagent_desc", "tool_summary", "subagent_type"), F.struct("is_team", "start_time", "agent_id", "ord")).alias("n")
     )
-    filled = linked.join(nested, [SID, "parent_task_id"], "left")
+    filled = stage(linked).join(nested, [SID, "parent_task_id"], "left")
     lacks = (c("description") == "") & c("n").isNotNull()
     detail = F.when(c("n")["subagent_desc"] != "", c("n")["subagent_desc"]).otherwise(c("n")["tool_summary"])
     kind = F.when(lacks & (c("subagent_type") == ""), c("n")["subagent_type"]).otherwise(c("subagent_type"))

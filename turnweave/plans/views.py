@@ -64,11 +64,12 @@ def session_view(
     proc_items = stage(chunks.build_items(stage(classify.explode_blocks(proc_msgs))))
     procs = stage(subagents.subagent_profile(proc_entries, proc_msgs, proc_chunks, sidecars, workers))
     linked = stage(subagents.link_subagents(procs, main_items, proc_items, entries, proc_entries))
-    main_chunks, main_items, linked = subagents.inject_orphans(main_chunks, main_items, linked)
+    main_chunks, main_items, linked = (stage(t) for t in subagents.inject_orphans(main_chunks, main_items, linked))
     if since is not None or before is not None:
         main_chunks = messages.time_filter(main_chunks, since, before)
         main_items = main_items.join(main_chunks.select(*chunks.CHUNK), chunks.CHUNK, "left_semi")
 
+    proc_chunks = stage(proc_chunks)
     all_chunks = main_chunks.unionByName(proc_chunks)
     all_items = main_items.unionByName(proc_items)
     all_msgs = main_msgs.unionByName(proc_msgs)
