@@ -83,16 +83,39 @@ def _first(*options: tuple[Column, Column], default: Column | str) -> Column:
     return expr.otherwise(default)
 
 
-def tool_summary(name: Column, v: Column) -> Column:
-    """One-line description of a tool call from its input."""
-    g = lambda k: get_str(v, f"$.{k}")
-    d = lambda k: get_display_str(v, f"$.{k}")
+# Input fields the summaries read: as strings only, as text of any type, and as numbers.
+STRING_ARGS = [
+    "content", "cron", "description", "edit_mode", "filePath", "id", "label", "new_string", "notebook_path", "old_string",
+    "operation", "owner", "pattern", "query", "recipient", "skill", "status", "subagentType", "subject", "summary", "taskId", "type",
+    *[k for k in MCP_KEYS if k not in ("query", "description")],
+]
+DISPLAY_ARGS = ["file_path", "command", "glob"]
+NUMBER_ARGS = ["limit", "offset"]
+
+
+def tool_args(v: Column) -> Column:
+    """The input fields of ``tool_summary``, each read once."""
+    return F.struct(
+        *[get_str(v, f"$.{k}").alias(f"s_{k}") for k in STRING_ARGS],
+        *[get_display_str(v, f"$.{k}").alias(f"d_{k}") for k in DISPLAY_ARGS],
+        *[get_num(v, f"$.{k}").alias(f"n_{k}") for k in NUMBER_ARGS],
+    )
+
+
+def tool_summary(name: Column, v: Column, args: Column | None = None) -> Column:
+    """One-line description of a tool call from its input.
+
+    ``args``: a column that holds ``tool_args(v)``; worth a step of its own on large inputs.
+    """
+    args = tool_args(v) if args is None else args
+    g = lambda k: args[f"s_{k}"] if k in STRING_ARGS else get_str(v, f"$.{k}")
+    d = lambda k: args[f"d_{k}"]
     cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     has = lambda c: c != ""
 
     short = short_path_n(d("file_path"), 2)
-    limit = get_num(v, "$.limit")
-    offset = F.when(get_num(v, "$.offset") == 0, F.lit(1)).otherwise(get_num(v, "$.offset"))
+    limit = args["n_limit"]
+    offset = F.when(args["n_offset"] == 0, F.lit(1)).otherwise(args["n_offset"])
     span = cat(short, " - lines ", offset.cast("string"), "-", (offset + limit - 1).cast("string"))
     with_file = lambda tool, rest: F.when(d("file_path") == "", tool).otherwise(rest)
     old_n, new_n = line_count(g("old_string")), line_count(g("new_string"))

@@ -8,6 +8,8 @@ number of runs, and by pointer doubling over joins for larger ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from ..plans.runtime import durable
 from .entries import KEY
 
 RUNS_PER_TASK = 200_000
+RUNS_PER_ROW = 64
+RUN = ["run", "end_line", "side", "to_run", "to_line", "via_logical", "target"]
 SID = "session_id"
 
 
@@ -87,43 +91,58 @@ def _runs(nodes: DataFrame) -> DataFrame:
     return heads.join(ends, [SID, "run"]).join(targets, [SID, "target"], "left")
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Live prefix of each run of one session (bounded number of runs)."""
-    pdf = pdf.sort_values("run")
-    order = pdf["run"].tolist()
-    at = {r: i for i, r in enumerate(order)}
-    end, side = pdf["end_line"].tolist(), pdf["side"].tolist()
-    to_run, to_line = pdf["to_run"].tolist(), pdf["to_line"].tolist()
-    logical, target = pdf["via_logical"].tolist(), pdf["target"].tolist()
+def _walk_runs(runs: list[tuple], run: int, line: int) -> tuple[dict[int, int], str | None]:
+    """Live prefix of each run of one session, and the missing parent the chain ends at, if any.
+
+    ``runs``: (run, end_line, side, to_run, to_line, via_logical, target) by run.
+    """
+    at = {r[0]: i for i, r in enumerate(runs)}
     upto: dict[int, int] = {}
-    gaps: list[str] = []
-    run, line = pdf["tip_run"].iloc[0], pdf["tip_line"].iloc[0]
     while True:
         known = upto.get(run, -1)
         if line <= known:
-            break
+            return upto, None
         upto[run] = line
-        if known >= 0:
-            break
         i = at[run]
-        if target[i] is None:
-            break
-        if pd.isna(to_run[i]):
-            gaps.append(target[i])
-            break
-        nxt, nxt_line = int(to_run[i]), int(to_line[i])
-        if logical[i] and nxt_line <= upto.get(nxt, -1):
+        _, _, _, to_run, to_line, via_logical, target = runs[i]
+        if known >= 0 or target is None:
+            return upto, None
+        if to_run is None:
+            return upto, target
+        if via_logical and to_line <= upto.get(to_run, -1):
             j = i - 1
-            while j >= 0 and (side[j] or upto.get(order[j], -1) >= end[j]):
+            while j >= 0 and (runs[j][2] or upto.get(runs[j][0], -1) >= runs[j][1]):
                 j -= 1
             if j < 0:
-                break
-            nxt, nxt_line = order[j], end[j]
-        run, line = nxt, nxt_line
-    sid = pdf[SID].iloc[0]
-    rows = [(sid, r, u, None) for r, u in upto.items()] + [(sid, None, None, g) for g in gaps]
-    out = pd.DataFrame(rows, columns=[SID, "run", "upto", "gap"])
-    return out.astype({"run": "Int64", "upto": "Int64"})
+                return upto, None
+            to_run, to_line = runs[j][0], runs[j][1]
+        run, line = to_run, to_line
+
+
+def _live_rows(sid: str, upto: dict[int, int], gap: str | None) -> list[tuple]:
+    rows = [(sid, r, u, None) for r, u in upto.items()]
+    return rows + [(sid, None, None, gap)] if gap is not None else rows
+
+
+def _live_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[SID, "run", "upto", "gap"]).astype({"run": "Int64", "upto": "Int64"})
+
+
+def _walk_session(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One session of a bounded number of runs."""
+    pdf = pdf.sort_values("run")
+    whole = lambda name: [None if pd.isna(x) else int(x) for x in pdf[name]]
+    runs = list(zip(*(whole(n) if n in ("to_run", "to_line") else pdf[n].tolist() for n in RUN)))
+    return _live_frame(_live_rows(pdf[SID].iloc[0], *_walk_runs(runs, pdf["tip_run"].iloc[0], pdf["tip_line"].iloc[0])))
+
+
+def _walk_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Many small sessions at a time, each with all its runs in one row."""
+    for pdf in batches:
+        rows: list[tuple] = []
+        for sid, run, line, runs in zip(pdf[SID], pdf["tip_run"], pdf["tip_line"], pdf["runs"]):
+            rows += _live_rows(sid, *_walk_runs([tuple(r[n] for n in RUN) for r in runs], run, line))
+        yield _live_frame(rows)
 
 
 LIVE_SCHEMA = "session_id string, run bigint, upto bigint, gap string"
@@ -220,12 +239,15 @@ def live_chain(entries: DataFrame, *, runs_per_task: int = RUNS_PER_TASK, segmen
     ).drop("tip")
     sized = tips.join(runs.groupBy(SID).agg(F.count(F.lit(1)).alias("n_runs")), SID)
     walked = durable(runs.join(sized, SID))
+    fits = F.col("n_runs") <= runs_per_task
     small = (
-        walked.filter(F.col("n_runs") <= runs_per_task)
-        .select(SID, "run", "end_line", "side", "to_run", "to_line", "via_logical", "target", "tip_run", "tip_line")
-        .groupBy(SID)
-        .applyInPandas(_walk, LIVE_SCHEMA)
+        walked.filter(fits & (F.col("n_runs") <= RUNS_PER_ROW))
+        .groupBy(SID, "tip_run", "tip_line")
+        .agg(F.array_sort(F.collect_list(F.struct(*RUN))).alias("runs"))
+        .mapInPandas(_walk_batch, LIVE_SCHEMA)
     )
+    medium = walked.filter(fits & (F.col("n_runs") > RUNS_PER_ROW)).groupBy(SID).applyInPandas(_walk_session, LIVE_SCHEMA)
+    small = small.unionByName(medium)
     large = walked.filter(F.col("n_runs") > runs_per_task)
     live = small if large.isEmpty() else small.unionByName(_walk_distributed(large.drop("n_runs")))
     inside = nodes.join(live.filter(F.col("run").isNotNull()), [SID, "run"]).filter(F.col("line_no") <= F.col("upto"))

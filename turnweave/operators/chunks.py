@@ -80,8 +80,8 @@ def pair_results(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 def build_items(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Display items of the blocks of chunked messages (blocks carry ``chunk_no``)."""
-    p = pair_results(blocks, segment)
     c = F.col
+    p = pair_results(blocks, segment).withColumn("__args", F.when(c("is_call"), tools.tool_args(c("tool_input"))))
     bt = c("block_type")
     agent_call = c("is_call") & c("tool_name").isin("Task", "Agent")
     item_type = (
@@ -114,7 +114,7 @@ def build_items(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
         F.when(call, c("tool_name")).otherwise("").alias("raw_tool_name"),
         F.when(call, c("tool_id")).otherwise("").alias("tool_id"),
         v.alias("tool_input"),
-        F.when(call, tools.tool_summary(c("tool_name"), v)).otherwise("").alias("tool_summary"),
+        F.when(call, tools.tool_summary(c("tool_name"), v, c("__args"))).otherwise("").alias("tool_summary"),
         F.when(call, tools.tool_category(c("tool_name"))).otherwise("Other").alias("tool_category"),
         F.coalesce(answer["text"], F.lit("")).alias("tool_result"),
         answer["json"].alias("tool_result_json"),
@@ -139,19 +139,26 @@ def build_items(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
         F.coalesce(pending_orphan, F.lit(False)).alias("is_orphan"),
         (c("is_pending") & ~F.coalesce(pending_orphan, F.lit(False))).alias("is_deferred"),
     )
-    return suppress_inflated(items)
+    return suppress_inflated(items, agent_times(blocks, segment))
 
 
-def suppress_inflated(items: DataFrame) -> DataFrame:
+def agent_times(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Chunks in which a sub-agent call took time; pairs calls again, without any bodies."""
+    c = F.col
+    narrow = blocks.select(
+        *CHUNK, "ord", "ts", "rule", "block_type", "is_meta", "tool_id", "tool_name",
+        F.lit("").alias("result_text"), F.lit(None).cast("string").alias("result_json"),
+        F.lit(False).alias("result_error"), F.lit("").alias("block_advisor_model"),
+    ).filter(c("block_type").isin("tool_use", "tool_result"))
+    p = pair_results(narrow, segment).filter(c("is_call") & c("tool_name").isin("Task", "Agent"))
+    # a call without an answer counts as zero
+    ms = F.coalesce(millis_between(c("answer")["ts"], c("ts")), F.lit(0))
+    took = p.groupBy(*CHUNK).agg(F.max(ms).alias("__longest"))
+    return took.filter(c("__longest") != 0).select(*CHUNK, F.lit(True).alias("__timed"))
+
+
+def suppress_inflated(items: DataFrame, timed: DataFrame) -> DataFrame:
     """Zero the long durations of other items in chunks where a sub-agent ran."""
-    agent = F.col("item_type") == "Subagent"
-    timed = (
-        items.filter(agent)
-        .groupBy(*CHUNK)
-        .agg(F.max("duration_ms").alias("__longest"))
-        .filter(F.col("__longest") != 0)
-        .select(*CHUNK, F.lit(True).alias("__timed"))
-    )
     shown = F.col("__timed") & ~F.col("item_type").isin("Subagent", "TeammateMessage") & (F.col("duration_ms") > CONCURRENT_MS)
     return (
         items.join(timed, CHUNK, "left")
