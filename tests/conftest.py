@@ -68,7 +68,7 @@ def assistant(uuid, blocks, parent="", model="claude-sonnet-4", stop=None, usage
     return {"type": "assistant", "uuid": uuid, "parentUuid": parent or None, "message": msg, **kw}
 
 
-def call(id, name, **inp):
+def call(id, name, /, **inp):
     return {"type": "tool_use", "id": id, "name": name, "input": inp}
 
 

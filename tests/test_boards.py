@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from turnweave.operators import chunks, classify, debug, messages, picker, projects, subagents, teams, usage
 from turnweave.operators.entries import parse_entries
+from turnweave.plans.runtime import stage
 
 
 def items_of(spark, rows, sid="s", agent=""):
-    msgs = chunks.assign_chunks(classify.classify(parse_entries(lines_frame(spark, {(sid, agent): rows})), subagents=True))
-    return chunks.build_items(classify.explode_blocks(msgs))
+    entries = parse_entries(lines_frame(spark, {(sid, agent): rows}))
+    msgs = stage(chunks.assign_chunks(stage(classify.classify(entries, subagents=True))))
+    return stage(chunks.build_items(stage(classify.explode_blocks(msgs))))
 
 
 def test_team_board(spark):
@@ -25,8 +27,8 @@ def test_team_board(spark):
         call("8", "TeamCreate", team_name="T"),
         call("9", "TaskCreate", subject="two"),
     ]
-    lead = items_of(spark, [assistant("a", calls)]).cache()
-    worker = items_of(spark, [assistant("b", [call("x", "TaskUpdate", taskId="1", status="done")])], agent="w1").cache()
+    lead = items_of(spark, [assistant("a", calls)])
+    worker = items_of(spark, [assistant("b", [call("x", "TaskUpdate", taskId="1", status="done")])], agent="w1")
     procs = spark.createDataFrame(
         [("s", "w1", "w@T", "red", False, None)],
         "session_id string, agent_id string, proc_id string, teammate_color string, is_team boolean, start_time timestamp",
@@ -48,9 +50,10 @@ def test_team_worker_sessions(spark):
     bob = [user("u", "x"), user("v", "y", agentName="bob", teamName="T")]
     eve = [user("w", "y", agentName="eve", teamName="T")]
     entries = parse_entries(lines_frame(spark, {("lead", ""): lead, ("bob", ""): bob, ("eve", ""): eve}))
-    got = collect(subagents.team_workers(entries, items_of(spark, lead, "lead")))
+    workers = stage(subagents.team_workers(entries, items_of(spark, lead, "lead")))
+    got = collect(workers)
     assert [(r["session_id"], r["worker_session"], r["agent_name"]) for r in got] == [("lead", "bob", "bob")]
-    keys = {(r["session_id"], r["agent_id"]) for r in subagents.process_entries(entries, subagents.team_workers(entries, items_of(spark, lead, "lead"))).collect()}
+    keys = {(r["session_id"], r["agent_id"]) for r in subagents.process_entries(entries, workers).collect()}
     assert keys == {("lead", "team:bob")}
     warm = parse_entries(lines_frame(spark, {("s", "w"): [user("1", "Warmup")], ("s", "x"): [user("2", "go")]}))
     assert {r["agent_id"] for r in subagents.process_entries(warm).collect()} == {"x"}
@@ -130,12 +133,13 @@ def test_orphan_and_deferred_calls(spark):
         assistant("3", [call("c", "Bash"), {"type": "thinking", "thinking": ""}, txt("")]),
         user("4", [{"type": "tool_result", "tool_use_id": "b", "content": "late"}]),
     ]
-    items = collect(items_of(spark, rows).drop("tool_input"), "ord")
+    staged = items_of(spark, rows)
+    items = collect(staged.drop("tool_input"), "ord")
     assert [(i["tool_id"], i["item_type"], i["is_orphan"], i["is_deferred"]) for i in items] == [
         ("a", "ToolCall", False, False), ("a", "ToolCall", True, False), ("b", "ToolCall", True, False),
         ("c", "ToolCall", False, True), ("", "Output", False, False), ("", "Output", False, False),
     ]
-    numbered = collect(chunks.number_items(items_of(spark, rows)).drop("tool_input"), "ord")
+    numbered = collect(chunks.number_items(staged).drop("tool_input"), "ord")
     assert [i["item_no"] for i in numbered] == [0, 1, 2, 0, 1, 2]
 
 
