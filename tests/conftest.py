@@ -17,6 +17,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
+        # a few rows per test: compiling the plans would take longer than running them
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("ckpt")))
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -107,7 +107,7 @@ def test_debug_log(spark):
         head.format(5, "DEBUG", "Hook PreToolUse:Bash (PreToolUse) success:"), "ran", head.format(6, "DEBUG", "Hook Stop (Stop) error:"),
     ]
     lines = spark.createDataFrame([("s", i, v) for i, v in enumerate(raw)], "session_id string, line_no bigint, value string")
-    entries = debug.parse_debug(lines, segment=3).cache()
+    entries = stage(debug.parse_debug(lines, segment=3))
     got = collect(entries, "entry_line")
     assert [(e["level"], e["category"], e["message"], e["extra"], e["line_num"]) for e in got][:4] == [
         ("WARN", "net", "slow", "", 2), ("DEBUG", "net", "slow", "", 3), ("WARN", "other", "slow", "", 4), ("WARN", "", "slow", "  at x\n  at y", 5),
@@ -115,12 +115,12 @@ def test_debug_log(spark):
     warn = debug.collapse_duplicates(debug.filter_level(entries, "WARN"), segment=3)
     assert [(e["entry_line"], e["entry_count"]) for e in collect(warn, "entry_line")] == [(1, 2), (4, 1), (8, 1)]
     assert [e["entry_line"] for e in collect(debug.filter_text(entries, "AT Y"))] == [4]
-    hooks = debug.debug_hooks(entries)
+    hooks = stage(debug.debug_hooks(entries))
     assert [(h["hook_event"], h["hook_name"], h["hook_command"]) for h in collect(hooks)] == [("PreToolUse", "Bash", "ran")]
-    msgs = classify.classify(parse_entries(lines_frame(spark, {
+    msgs = stage(classify.classify(parse_entries(lines_frame(spark, {
         ("s", ""): [user("1", "late", timestamp="2026-01-01T00:00:09Z"), user("2", "early", timestamp="2026-01-01T00:00:01Z")],
         ("t", ""): [user("3", "late", timestamp="2026-01-01T00:00:09Z"), user("4", "early", timestamp="2026-01-01T00:00:01Z")],
-    })))
+    }))))
     merged = collect(debug.merge_hooks(msgs, hooks).drop("blocks"), "session_id", "line_no")
     assert [(m["session_id"], m["kind"], m["text"]) for m in merged] == [
         ("s", "user", "early"), ("s", "hook", ""), ("s", "user", "late"), ("t", "user", "late"), ("t", "user", "early"),
