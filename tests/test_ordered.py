@@ -57,9 +57,10 @@ def chain_cases():
     return cases
 
 
-@pytest.mark.parametrize("runs_per_task", [200_000, 0])
-def test_live_chain_equals_fold(spark, runs_per_task):
-    """Bounded walk and distributed walk against the sequential rule, with branches, gaps and cycles."""
+@pytest.mark.parametrize(("runs_per_task", "runs_per_row"), [(200_000, 64), (200_000, 0), (0, 0)])
+def test_live_chain_equals_fold(spark, monkeypatch, runs_per_task, runs_per_row):
+    """All three walks against the sequential rule, with branches, gaps and cycles."""
+    monkeypatch.setattr(chain, "RUNS_PER_ROW", runs_per_row)
     cases = chain_cases()
     lines = {
         (f"s{i}", ""): [
