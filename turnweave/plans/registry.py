@@ -100,7 +100,7 @@ def _sessions(s, d):
     return adapters.user_sessions(s, d)
 
 
-NOW = F.timestamp_seconds(F.lit(1706745600))  # 2024-02-01
+NOW_SECONDS = 1706745600  # 2024-02-01
 KEEP_MSG = [
     "session_id", "msg_no", "role", "model", "content", "thinking_count", "tool_call_count", "output_count", "tokens_raw",
     "context_tokens", "duration_ms", "is_error", "item_count", "agent_count",
@@ -202,7 +202,7 @@ QUERIES = {
     "m11_short_model": _models,
     "m12_short_mode": _modes,
     "r01_search": lambda s, d: picker.search_sessions(_sessions(s, d), "NAME 1").select("session_id", "name"),
-    "r03_group_by_date": lambda s, d: picker.group_by_date(_sessions(s, d), NOW).select("session_id", "date_group", "group_rank"),
+    "r03_group_by_date": lambda s, d: picker.group_by_date(_sessions(s, d), F.timestamp_seconds(F.lit(NOW_SECONDS))).select("session_id", "date_group", "group_rank"),
     "r04_totals": lambda s, d: picker.catalogue_totals(_sessions(s, d)),
     "r05_titles": lambda s, d: picker.session_title(_sessions(s, d)).select("session_id", "title", "subtitle"),
     "r06_newest": lambda s, d: picker.sort_by_mtime(_sessions(s, d), 20).select("session_id", F.unix_micros("mtime").alias("mtime_us")),
