@@ -1,7 +1,7 @@
 """Quality by weak labels: EM over overlapping heuristic labellers, posteriors train a hashed linear scorer.
 
 Each labeller votes good (1), bad (-1) or abstains (0). EM sees only how often each vote pattern occurs, over all
-documents; there are at most 3^6 patterns whatever the corpus.
+documents; there are at most 3^8 patterns whatever the corpus.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from turnweave.llm.common import _U, WORD, word_hashes
 
-LABELLERS = ("length", "word_length", "letters", "sentences", "variety", "lines")
+LABELLERS = ("length", "word_length", "letters", "sentences", "variety", "lines", "runs", "capitals")
 BUCKETS = 1 << 14
 SAMPLE = 4000  # rows the linear scorer is fitted on, of least hash: its bound
 KEEP = 0.3
@@ -27,6 +27,7 @@ def votes(docs: DataFrame) -> DataFrame:
         "doc_id", t.alias("text"), n.alias("n"), F.length(F.regexp_replace(t, r"\s+", "")).alias("solid"),
         F.regexp_count(t, F.lit(r"\p{L}")).alias("letters"), F.regexp_count(t, F.lit(r"[.!?](\s|$)")).alias("stops"),
         F.size(F.array_distinct(F.split(F.lower(t), r"\s+"))).alias("kinds"),
+        F.regexp_count(t, F.lit(r"[^\p{L}\p{Nd}\s]{2,}")).alias("symbol_runs"), F.regexp_count(t, F.lit(r"\p{Lu}")).alias("capitals"),
         F.size(F.split(t, "\n")).alias("lines"), F.size(F.array_distinct(F.split(t, "\n"))).alias("line_kinds"),
     )
 
@@ -39,6 +40,7 @@ def votes(docs: DataFrame) -> DataFrame:
         "doc_id", "text", vote(c("n") < 15, c("n") >= 60).alias("length"), vote((size < 2.2) | (size > 12), (size > 3) & (size < 9)).alias("word_length"),
         vote(share < 0.7, share > 0.9).alias("letters"), vote(stops < 0.005, (stops > 0.02) & (stops < 0.4)).alias("sentences"),
         vote((kinds < 2) & (c("n") > 30), kinds > 4).alias("variety"), vote(c("line_kinds") < 0.5 * c("lines"), c("line_kinds") > 0.9 * c("lines")).alias("lines"),
+        vote(c("symbol_runs") > 0.05 * c("n"), c("symbol_runs") < 0.01 * c("n")).alias("runs"), vote(c("capitals") > 0.3 * c("letters"), c("capitals") < 0.15 * c("letters")).alias("capitals"),
     )
 
 
@@ -86,7 +88,7 @@ def score_quality(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) ->
     """
     spark = docs.sparkSession
     v = votes(docs)
-    counts = v.groupBy(*LABELLERS).agg(F.count(F.lit(1)).alias("c")).collect()  # 3^6 rows at most
+    counts = v.groupBy(*LABELLERS).agg(F.count(F.lit(1)).alias("c")).collect()  # 3^8 rows at most
     if not counts:
         return spark.createDataFrame([], "doc_id bigint, weak_label double, score double, keep boolean")
     _, _, post = fit_labellers([tuple(r) for r in counts])

@@ -31,7 +31,7 @@ PUNCT = {ord(c): " " for c in ".,;:!?\"()[]{}«»¿¡“”…"}
 class ConvNet:
     def __init__(self, seed: int = 3):
         r = np.random.RandomState(seed)
-        self.emb = r.normal(0, 0.5, (BUCKETS, DIM)).astype(np.float32)
+        self.emb = r.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
         self.filters = {w: r.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.out = r.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
