@@ -6,6 +6,7 @@ Null text counts as empty everywhere. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -70,6 +71,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable from each node that has an edge (a, b).
 

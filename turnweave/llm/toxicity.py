@@ -17,6 +17,7 @@ from turnweave.llm.common import _U, word_hashes
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
 PER_CLASS = 1500  # labelled rows of each class the model is fitted on: its bound
 EPOCHS = 6
+LEAST_TEXTS = 4
 FALSE_ALARMS = 0.01
 
 
@@ -31,7 +32,7 @@ PUNCT = {ord(c): " " for c in ".,;:!?\"()[]{}«»¿¡“”…"}
 class ConvNet:
     def __init__(self, seed: int = 3):
         r = np.random.RandomState(seed)
-        self.emb = r.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
+        self.emb = r.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
         self.filters = {w: r.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.out = r.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
@@ -67,6 +68,9 @@ class ConvNet:
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, seed: int = 5):
         """Adagrad, one text at a time; gradients reach only the winning windows."""
         r = np.random.RandomState(seed)
+        # words of fewer than LEAST_TEXTS texts would only be learnt by heart; they say nothing
+        known = np.bincount(np.concatenate([np.unique(x) for x in texts]), minlength=BUCKETS) >= LEAST_TEXTS
+        self.emb[~known] = 0
         seen = {"e": np.full(self.emb.shape, 1e-2, np.float32), "o": np.full(self.out.shape, 1e-2, np.float32), "b": 1e-2}
         fs = {w: np.full(self.filters[w].shape, 1e-2, np.float32) for w in WIDTHS}
         bs = {w: np.full(FILTERS, 1e-2, np.float32) for w in WIDTHS}
@@ -87,7 +91,7 @@ class ConvNet:
                         if p < 0:
                             continue
                         piece = ids[p : p + w]
-                        gf, ge = d * self.emb[piece], d * self.filters[w][:, :, f]
+                        gf, ge = d * self.emb[piece], d * self.filters[w][:, :, f] * known[piece][:, None]
                         fs[w][:, :, f] += gf * gf
                         self.filters[w][:, :, f] -= rate * gf / np.sqrt(fs[w][:, :, f])
                         bs[w][f] += d * d
