@@ -53,8 +53,8 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     acc = np.full(len(words) - n + 1, _U(n), _U)
     with np.errstate(over="ignore"):
         for i in range(n):
-            acc = mix(acc * _BASE + words[i : len(words) - n + 1 + i])
-    return acc
+            acc = acc * _BASE + words[i : len(words) - n + 1 + i]
+    return mix(acc)
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:

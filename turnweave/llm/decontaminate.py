@@ -11,73 +11,72 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm.common import _U, mix, stage
 
 WINDOW, SHORTEST, LITERAL = 12, 4, 3
-FILTER_WORDS = 1 << 17  # 64-bit words of the filter: one MB at every size
-TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+(?:['’][\p{L}]+)*|[%$€£°]")
+FILTER_WORDS = 1 << 17  # 64-bit words of the filter: one MB at every size; a power of two
+TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+(?:['’][\p{L}]+)*|[%$€£°]|[.!?\n:]")
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years % $ € £ ° usd eur dollars euros cents meters metres miles feet inches grams kilograms pounds liters litres".split())
+BREAK, NUMBER, UNIT, CAPITAL = (_U(1 << i) for i in range(4))  # low bits of a token's code; the others are its hash
+KINDS = _U(15)
+HOLDERS = [_U(16 * (i + 1)) for i in range(3)]  # <number>, <unit>, <name>
+BASE = _U(0x9E3779B97F4A7C15)
 
 
-def template(text: str | None):
-    """(template words, slot values or None, values of the slots in order): a name is a capitalised word within a sentence."""
-    text = text or ""
-    words, slots, last = [], [], 0
-    for m in TOKEN.finditer(text):
-        w = m.group()
+class _Codes(dict):
+    def __missing__(self, w: str) -> int:
         low = w.lower()
-        start = not words or any(c in ".!?\n:" for c in text[last : m.start()])
-        if w[0].isdigit():
-            words.append("<number>")
-            slots.append(w)
-        elif low in UNITS and words and words[-1] == "<number>":
-            words.append("<unit>")
-            slots.append(low)
-        elif w[0].isupper() and not start:
-            words.append("<name>")
-            slots.append(w)
-        else:
-            words.append(low)
-            slots.append(None)
-        last = m.end()
-    return words, slots
-
+        kind = int(BREAK) * (w in ".!?\n:") | int(NUMBER) * w[0].isdigit() | int(UNIT) * (low in UNITS) | int(CAPITAL) * w[0].isupper()
+        self[w] = code = (xxhash.xxh64_intdigest(low) & ~15) | kind
+        return code
 
-_KNOWN: dict[str, int] = {}
 
+_CODES = _Codes()
 
-def _hashes(words: list[str]) -> np.ndarray:
-    import xxhash
 
-    if len(_KNOWN) > 1 << 18:
-        _KNOWN.clear()
-    return np.array([_KNOWN[w] if w in _KNOWN else _KNOWN.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], _U)
+def template(text: str | None):
+    """(hash of each template word, whether it is a slot, function from a place to its slot's value).
+
+    A name is a capitalised word within a sentence, a unit a word of the list after a number."""
+    if len(_CODES) > 1 << 18:
+        _CODES.clear()
+    tokens = TOKEN.findall(text or "")
+    code = np.fromiter(map(_CODES.__getitem__, tokens), _U, len(tokens))
+    at = np.flatnonzero((code & BREAK) == 0)
+    code = code[at]
+    number = (code & NUMBER) > 0
+    unit = ((code & UNIT) > 0) & ~number & np.concatenate(([False], number[:-1]))[: len(at)]
+    inner = np.diff(at, prepend=-9) == 1
+    inner[:1] = False
+    name = ((code & CAPITAL) > 0) & inner & ~number & ~unit
+    h = np.select([number, unit, name], HOLDERS, code & ~KINDS)
+    return h, number | unit | name, lambda i: tokens[at[i]].lower() if unit[i] else tokens[at[i]]
 
 
 def windows(text, lengths):
-    """Of each length that fits: (length, hashes by place, words that are literal by place, slots)."""
-    words, slots = template(text)
-    h = _hashes(words)
-    plain = np.concatenate(([0], np.cumsum([s is None for s in slots])))
-    for n in lengths:
-        if len(h) >= n:
-            acc = np.full(len(h) - n + 1, _U(n), _U)
-            for i in range(n):
-                acc = mix(acc * _U(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-            yield n, acc, plain[n:] - plain[:-n], slots
+    """Of each length that fits: (length, hashes by place, words that are literal by place, slots of a place)."""
+    h, slot, value = template(text)
+    plain = np.concatenate(([0], np.cumsum(~slot)))
+    acc = np.zeros(len(h) + 1, _U)
+    for n in range(1, min(max(lengths, default=0), len(h)) + 1):
+        acc = acc[:-1] * BASE + h[n - 1 :]
+        if n in lengths:
+            yield n, mix(acc), plain[n:] - plain[:-n], lambda i, n=n: _values([value(j) for j in range(i, i + n) if slot[j]])
 
 
 def _values(slots) -> str:
     """Which slots hold equal values: the rank of first appearance of each value."""
     seen: dict = {}
-    return ",".join(str(seen.setdefault(s, len(seen))) for s in slots if s is not None)
+    return ",".join(str(seen.setdefault(s, len(seen))) for s in slots)
 
 
 def _bits(h: np.ndarray):
-    return [(mix(h + _U(i)) % _U(FILTER_WORDS * 64)).astype(np.int64) for i in (1, 2)]
+    top = _U(FILTER_WORDS * 64 - 1)
+    return [(x & top).astype(np.int64) for x in (h, h >> _U(32))]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -94,7 +93,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for k, t in zip(f.item_id, f.text):
                 n = min(WINDOW, len(template(t)[0]))
                 for size, acc, plain, slots in windows(t, [n] if n >= SHORTEST else []):
-                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, size, _values(slots[i : i + size])) for i in range(len(acc)) if plain[i] >= LITERAL]
+                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, size, slots(i)) for i in range(len(acc)) if plain[i] >= LITERAL]
             yield pd.DataFrame(rows, columns=["h", "item_id", "n", "slots"])
 
     kind = dict(benchmark.dtypes)["item_id"]
@@ -120,7 +119,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ok = plain >= LITERAL
                     for b in _bits(acc):
                         ok &= (shared.value[b >> 6] >> (b & 63).astype(_U)) & _U(1) > 0
-                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, int(i), size, _values(slots[i : i + size])) for i in np.flatnonzero(ok)]
+                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, int(i), size, slots(int(i))) for i in np.flatnonzero(ok)]
             yield pd.DataFrame(rows, columns=["h", "doc_id", "at", "n", "slots"])
 
     found = docs.select("doc_id", "text").mapInPandas(seek, "h bigint, doc_id bigint, at int, n int, slots string")
