@@ -98,10 +98,11 @@ def test_session_updates_stream(spark, tmp_path):
 
 def test_replayed_lines(spark, tmp_path):
     src = str(tmp_path / "in")
-    schema = "session_id string, agent_id string, epoch bigint, uuid string, ts timestamp"
-    rows = [("s", "", 0, "u1", None), ("s", "", 0, "u1", None), ("s", "", 0, "u2", None)]
+    schema = "session_id string, agent_id string, epoch bigint, uuid string, path string, line_no bigint, ts timestamp"
+    rows = [("s", "", 0, "u1", "/s", 0, None), ("s", "", 0, "u1", "/s", 0, None), ("s", "", 0, "u2", "/s", 1, None)]
+    rows += [("s", "", 0, "", "/s", 2, None), ("s", "", 0, "", "/s", 2, None), ("s", "", 0, "", "/s", 3, None)]
     df = spark.createDataFrame(rows, schema).withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
     df.coalesce(1).write.parquet(src)
     q = live.drop_replayed(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName("dedup_out").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.table("dedup_out").count() == 2
+    assert spark.table("dedup_out").count() == 4

@@ -105,9 +105,16 @@ def tool_args(v: Column) -> Column:
 def tool_summary(name: Column, v: Column, args: Column | None = None) -> Column:
     """One-line description of a tool call from its input.
 
-    ``args``: a column that holds ``tool_args(v)``; worth a step of its own on large inputs.
+    ``args``: a column that holds ``tool_args(v)``; worth a step of its own on large inputs. Without it, input
+    and fields are bound to lambda variables, so that the plan holds ``v`` once.
     """
-    args = tool_args(v) if args is None else args
+    if args is not None:
+        return _summary(name, v, args)
+    bound = F.transform(F.array(v), lambda x: F.get(F.transform(F.array(tool_args(x)), lambda a: _summary(name, x, a)), 0))
+    return F.get(bound, 0)
+
+
+def _summary(name: Column, v: Column, args: Column) -> Column:
     g = lambda k: args[f"s_{k}"] if k in STRING_ARGS else get_str(v, f"$.{k}")
     d = lambda k: args[f"d_{k}"]
     cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])

@@ -13,7 +13,6 @@ from .entries import IDENTITY
 
 SID = "session_id"
 STALE_SECONDS = 60
-PREVIEW_LINES = 200
 PREVIEW_CHARS = 500
 REJECTED = "User rejected tool use"
 
@@ -135,12 +134,15 @@ def turn_counts(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return joined.groupBy(SID).agg(F.sum(c("n") + F.coalesce(bridge, F.lit(0))).alias("turn_count"))
 
 
-def first_messages(entries: DataFrame) -> DataFrame:
-    """First readable user text among the first 200 lines, else the first slash command."""
+def first_messages(entries: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """First readable user text of a session, else the first slash command.
+
+    ``max_lines``: look at the first so many lines only, as a reader of file heads does.
+    """
     c = F.col
     raw = c("text")
     seen = main_entries(entries).filter(
-        (c("line_no") < PREVIEW_LINES)
+        (F.lit(True) if max_lines is None else c("line_no") < max_lines)
         & _own()
         & (c("type") == "user")
         & (raw != "")

@@ -67,7 +67,7 @@ def project_nodes(sessions: DataFrame) -> DataFrame:
     c = F.col
     rooted = sessions.select(SID, "path", "mtime", "is_ongoing").join(project_roots(sessions), SID)
     # the newest session names the project; of equal times the first path
-    newest = F.max_by("root_origin", F.struct(F.unix_micros("mtime").alias("t"), (-F.xxhash64("path")).alias("p")))
+    newest = F.min_by("root_origin", F.struct(F.coalesce(-F.unix_micros("mtime"), F.lit(2**63 - 1)).alias("t"), "path"))
     grouped = rooted.groupBy(c("root_key").alias("key")).agg(
         F.count(F.lit(1)).alias("session_count"), F.max("is_ongoing").alias("has_ongoing"), newest.alias("origin")
     )

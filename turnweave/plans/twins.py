@@ -193,7 +193,7 @@ root AS (SELECT start, cur FROM walk WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk
 rooted AS (SELECT s.*, r.key AS root_key, r.origin AS root_origin, r.session_id AS root_id FROM s JOIN root ON root.start = s.u JOIN s r ON r.u = root.cur),
 nodes AS (
   SELECT root_key AS key, count(*) AS session_count, bool_or(is_ongoing) AS has_ongoing,
-    CASE WHEN arg_max(root_origin, mtime) <> '' THEN arg_max(root_origin, mtime) ELSE regexp_extract(root_key, '([^-]+)$', 1) END AS name
+    CASE WHEN first(root_origin ORDER BY mtime DESC NULLS LAST, key || '/' || session_id) <> '' THEN first(root_origin ORDER BY mtime DESC NULLS LAST, key || '/' || session_id) ELSE regexp_extract(root_key, '([^-]+)$', 1) END AS name
   FROM rooted GROUP BY root_key
 )"""
 )
@@ -374,7 +374,7 @@ SQL = {
     "a08_token_totals": _w(TOKENS, f"""SELECT session_id, {SUMS}, CAST(sum(units) AS DOUBLE) / 1e8 AS cost_usd,
       CAST(sum(input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens) AS BIGINT) AS total_tokens FROM cost GROUP BY 1"""),
     "a10_model_usage": _w(TOKENS, f"""SELECT session_id, model, count(*) AS requests, {SUMS}, CAST(sum(units) AS DOUBLE) / 1e8 AS cost_usd FROM cost GROUP BY 1, 2"""),
-    "a13_first_messages": _w(EVENTS, "SELECT session_id, first(txt ORDER BY line_no) AS first_message FROM e WHERE et = 'signup' AND NOT inh AND line_no < 200 GROUP BY 1"),
+    "a13_first_messages": _w(EVENTS, "SELECT session_id, first(txt ORDER BY line_no) AS first_message FROM e WHERE et = 'signup' AND NOT inh GROUP BY 1"),
     "a13_first_messages_of_talk": _w(TALK, """SELECT session_id, replace(substring(first(text ORDER BY line_no), 1, 500), chr(10), ' ') AS first_message
       FROM t0 WHERE role = 'user' GROUP BY 1"""),
     "a14_scan_ongoing": _w(EVENTS, """SELECT session_id, a IS NOT NULL AND (en IS NULL OR a > en) AS is_ongoing FROM (SELECT session_id,

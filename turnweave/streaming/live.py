@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -82,9 +83,14 @@ def stream_entries(lines: DataFrame) -> DataFrame:
 
 
 def drop_replayed(entries: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop lines that the landing replays within the delay."""
-    keyed = entries.filter(F.col("uuid") != "")
-    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark([SID, "agent_id", "epoch", "uuid"])
+    """Drop lines that the landing replays within the delay.
+
+    Lines without a uuid (summaries, modes, directories, forks) are told apart by their place in the file.
+    """
+    c = F.col
+    place = F.concat_ws("/", F.lit("#"), c("path"), c("line_no").cast("string"))
+    keyed = entries.withColumn("__key", F.when(c("uuid") != "", c("uuid")).otherwise(place))
+    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark([SID, "agent_id", "epoch", "__key"]).drop("__key")
 
 
 def stream_requests(entries: DataFrame) -> DataFrame:
@@ -181,8 +187,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema
         return True
-    except Exception:  # no batch has been written yet
-        return False
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False  # no batch has been written yet
 
 
 STATE = "message_count bigint, item_count bigint, ongoing boolean"
