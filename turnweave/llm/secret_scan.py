@@ -1,7 +1,8 @@
 """Secret scan with ownership frequency, in DataFrame functions only.
 
 Candidates are found with their spans, then counted over the corpus by distinct repositories (documents) and
-owners (sources). A candidate of few owners looks live; one copied by many is an example.
+owners (sources), both exact. A candidate of few owners and few repositories looks live; one that many of either
+hold is an example.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ KINDS = (
 )
 HEX_RUN = "[0-9a-f]{24,}"  # the same spans as long enough runs, without the short ones
 OWNERS = 2  # owners above this make a candidate an example
+REPOSITORIES = 10  # repositories above this too, also those of one owner
 
 
 def _spans(text: Column, i: int) -> Column:
@@ -50,13 +52,17 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories, copies) of each candidate; two aggregates, so that a common one is summed in parts first."""
+    """(hash, owners, repositories, copies) of each candidate, exact.
+
+    Repositories are distinct (source, doc_id), nulls counting as values. Each step sums in parts, so that a common
+    candidate is not gathered in one place."""
     c = found.select("doc_id", "source", F.explode("found").alias("f")).select("doc_id", "source", F.sha2(F.col("f.v"), 256).alias("hash"))
-    per = c.groupBy("hash", "source").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id", 0.01).alias("docs"))
+    docs = c.groupBy("hash", "source", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    per = docs.groupBy("hash", "source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     return per.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("docs").alias("repositories"), F.sum("n").alias("copies"))
 
 
-def secret_report(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
+def secret_report(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example), one row a document row.
 
     Owners are sources, null being one of them. Documents without candidates, null and empty texts have zeros
@@ -68,8 +74,9 @@ def secret_report(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
     found = stage(found.withColumn("_row", F.struct(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))), "secrets")
     some = found.filter(F.size("found") > 0)
     c = some.select("_row", F.explode("found").alias("f")).select("_row", F.sha2(F.col("f.v"), 256).alias("hash"))
-    marked = c.join(ownership(some).select("hash", "owners"), "hash")
-    per = marked.groupBy("_row").agg(F.count_if(F.col("owners") <= owners).alias("n_live"), F.count_if(F.col("owners") > owners).alias("n_example"))
+    example = (F.col("owners") > owners) | (F.col("repositories") > repositories)
+    marked = c.join(ownership(some).select("hash", example.alias("example")), "hash")
+    per = marked.groupBy("_row").agg(F.count_if(~F.col("example")).alias("n_live"), F.count_if("example").alias("n_example"))
     spans = F.array_join(F.transform("found", lambda f: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k, *_ in KINDS]), f.k + 1), f.s.cast("string"), f.e.cast("string"))), ",")
     out = found.join(per, "_row", "left").withColumn("spans", spans)
     return out.select(
