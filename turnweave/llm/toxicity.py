@@ -2,7 +2,8 @@
 
 Trained in numpy on a bounded sample of labelled rows. Scoring slides over the whole text; each filter's product
 with each embedding is a table, so that a window is a sum of looked-up rows. Thresholds by language are
-calibrated on training rows for a stated share of false alarms; the score itself sees the text alone.
+calibrated for a stated share of false alarms, on the labelled training rows the model was not fitted on, and
+decide what is toxic; the score itself sees the text alone.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import _U, word_hashes
+from turnweave.llm.common import _U, stage, word_hashes
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
 PER_CLASS = 1500  # labelled rows of each class the model is fitted on: its bound
 EPOCHS = 6
 LEAST_TEXTS = 4
 FALSE_ALARMS = 0.01
+CUT, LOWEST = 0.7, 0.5  # where a language has too few rows to calibrate on; no threshold is lower than LOWEST
+BINS = 1000  # of the scores that thresholds are taken from
 
 
 def _ids(text) -> np.ndarray:
@@ -102,15 +105,18 @@ class ConvNet:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[ConvNet, dict[str, float]]:
-    """(model, threshold by language) from at most ``per_class`` rows of each label, those of least hash.
+    """(model, threshold by language); the model is fitted on at most ``per_class`` rows of each label, those of least hash.
 
-    Rows with crc32(doc_id) mod 3 = 1 are held out. Without rows of both labels the model says 0.5 at most."""
+    Thresholds come from the other non-toxic rows. In a language of which under 100 are left, the fitted ones are added,
+    each scored by a model of the other half, so that no row is judged by a model that saw it. Rows with
+    crc32(doc_id) mod 3 = 1 are held out. Without rows of both labels the model says 0.5 at most."""
     y = labels.filter("toxic is not null and crc32(cast(doc_id as string)) % 3 <> 1").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
     y = y.groupBy("_id").agg(F.max("_y").alias("_y"))
     picked = None
     for label in (0, 1):
         one = y.filter(F.col("_y") == label).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = one if picked is None else picked.union(one)
+    picked = stage(picked, "picked")
 
     def ids(frames):
         for f in frames:
@@ -119,23 +125,50 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     rows = docs.select("doc_id", "text", "lang").join(picked, F.col("doc_id") == F.col("_id"))
     rows = rows.select("_id", "_y", "lang", "text").mapInPandas(ids, "k bigint, y int, lang string, ids array<int>").orderBy("k").collect()
     net = ConvNet()
-    x, y = [np.array(r.ids, np.int32) for r in rows], np.array([r.y for r in rows], np.float32)
-    if len(set(y)) < 2:
+    x, y_ = [np.array(r.ids, np.int32) for r in rows], np.array([r.y for r in rows], np.float32)
+    if len(set(y_)) < 2:
         net.out[:] = 0
         return net, {}
-    net.fit(x, y)
-    tables = net.tables()
-    by: dict[str, list[float]] = {}
-    for r, ids_ in zip(rows, x):
-        if r.y == 0:
-            by.setdefault(r.lang, []).append(net.score(ids_, tables))
-    return net, {k: float(np.quantile(v, 1 - FALSE_ALARMS)) for k, v in by.items() if k is not None}
-
+    net.fit(x, y_)
+    counts: dict[str, np.ndarray] = {}
+    rest = y.filter("_y = 0").join(picked.select("_id"), "_id", "left_anti")
+    rest = docs.select("doc_id", "text", "lang").join(rest, F.col("doc_id") == F.col("_id")).select("text", "lang")
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
-def score_toxicity(docs: DataFrame, net: ConvNet, thresholds: dict[str, float], cut: float = 0.7) -> DataFrame:
+    def scored(frames):
+        tables = shared.value.tables()
+        for f in frames:
+            yield pd.DataFrame({"lang": f.lang, "b": [min(BINS - 1, int(BINS * shared.value.score(_ids(t), tables))) for t in f.text]})
+
+    for r in rest.mapInPandas(scored, "lang string, b int").groupBy("lang", "b").agg(F.count(F.lit(1)).alias("c")).collect():
+        counts.setdefault(r.lang, np.zeros(BINS, np.int64))[r.b] = r.c
+    few = 1 / FALSE_ALARMS
+    short = {r.lang for r in rows if counts.get(r.lang, np.zeros(1)).sum() < few}
+    if short:
+        part = np.arange(len(rows)) % 2
+        for half in (0, 1):
+            if len(set(y_[part != half])) < 2:
+                continue
+            other = ConvNet().fit([x[k] for k in np.flatnonzero(part != half)], y_[part != half])
+            tables = other.tables()
+            for k in np.flatnonzero(part == half):
+                if y_[k] == 0 and rows[k].lang in short:
+                    b = min(BINS - 1, int(BINS * other.score(x[k], tables)))
+                    counts.setdefault(rows[k].lang, np.zeros(BINS, np.int64))[b] += 1
+    return net, {k: threshold(c) for k, c in counts.items() if k is not None and c.sum() >= few}
+
+
+def threshold(counts: np.ndarray, share: float = FALSE_ALARMS) -> float:
+    """The least score that at most ``share`` of the counted scores reach."""
+    above = np.concatenate((np.cumsum(counts[::-1])[::-1], [0]))  # scores in this bin or higher
+    return int(np.argmax(above <= share * counts.sum())) / len(counts)
+
+
+def score_toxicity(docs: DataFrame, net: ConvNet, thresholds: dict[str, float], cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, score, predicted, threshold): every whole text; null is empty, a null id gives a null held_out.
 
-    ``threshold`` is the calibrated one of the row's language, ``cut`` where none was seen; at least 0.5."""
+    ``threshold`` is the calibrated one of the row's language, ``cut`` where there is none; at least 0.5. It decides
+    ``predicted``."""
     shared = docs.sparkSession.sparkContext.broadcast((net, thresholds))  # the size is that of the model, whatever the data
 
     def run(frames):
@@ -143,21 +176,23 @@ def score_toxicity(docs: DataFrame, net: ConvNet, thresholds: dict[str, float],
         tables = model.tables()
         for f in frames:
             s = [model.score(_ids(t), tables) for t in f.text]
-            yield pd.DataFrame({"doc_id": f.doc_id, "lang": f.lang, "score": s, "threshold": [max(0.5, limit.get(x, cut)) for x in f.lang]})
+            yield pd.DataFrame({"doc_id": f.doc_id, "lang": f.lang, "score": s, "threshold": [max(LOWEST, limit.get(x, cut)) for x in f.lang]})
 
     out = docs.select("doc_id", "text", "lang").mapInPandas(run, "doc_id bigint, lang string, score double, threshold double")
     held = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "threshold")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= F.col("threshold")).cast("int").alias("predicted"), "threshold")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
-    """The rows whose text scores under the cut, all columns kept; ids may repeat or be null: a text decides for its own row."""
-    net, _ = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows whose text scores under the threshold of their language, ``cut`` where there is none; all columns kept.
+
+    Ids may repeat or be null: a text decides for its own row."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(frames):
-        tables = shared.value.tables()
+        net, limit = shared.value
+        tables = net.tables()
         for f in frames:
-            yield f[[shared.value.score(_ids(t), tables) < cut for t in f.text]]
+            yield f[[net.score(_ids(t), tables) < max(LOWEST, limit.get(x, cut)) for t, x in zip(f.text, f.lang)]]
 
     return docs.mapInPandas(run, docs.schema)
