@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from turnweave.llm.common import WORD
 
-SAMPLES = 16
+SAMPLES = 64
 NEIGHBOURS = 12  # binary digits of an id's run when the next lower id is sought
 
 
