@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from turnweave.llm import decontaminate, fingerprints, jaccard_join, line_dedup, mixing, passages, quality, secret_scan, token_counts, toxicity
+from turnweave.llm import decontaminate, fingerprints, jaccard_join, line_dedup, mixing, passages, prefix_trie, quality, secret_scan
+from turnweave.llm import token_counts, topk_search, toxicity, word_runs
 
 
 def table(spark, sf_dir, name):
@@ -31,7 +32,10 @@ QUERIES = {
     "op8_quality": lambda s, d: quality.score_quality(table(s, d, "documents")),
     "op9_token_counts": lambda s, d: token_counts.token_counts(table(s, d, "documents")),
     "op10_fingerprints": lambda s, d: fingerprints.fingerprint_report(table(s, d, "documents")),
+    "op11_topk_search": lambda s, d: topk_search.top_k(table(s, d, "embeddings"), "vec_id % 50 = 0"),
+    "op12_word_runs": lambda s, d: word_runs.run_report(table(s, d, "documents")),
+    "op13_prefix_trie": lambda s, d: prefix_trie.trie_report(table(s, d, "conversations")),
     "pipeline": _pipeline,
 }
 
-SQL = {"op7_mixing": mixing.MIX_SQL}
+SQL = {"op7_mixing": mixing.MIX_SQL, "op11_topk_search": topk_search.TOP_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}
