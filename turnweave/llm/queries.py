@@ -10,11 +10,6 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _toxicity(s, d):
-    docs = table(s, d, "documents")
-    return toxicity.score_toxicity(docs, *toxicity.train(docs, table(s, d, "labels")))
-
-
 def _pipeline(s, d):
     import corpus_pipeline
 
@@ -27,7 +22,7 @@ QUERIES = {
     "op3_decontaminate": lambda s, d: decontaminate.leak_report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op4_jaccard_join": lambda s, d: jaccard_join.jaccard_components(table(s, d, "documents")),
     "op5_secrets": lambda s, d: secret_scan.secret_report(table(s, d, "documents")),
-    "op6_toxicity": _toxicity,
+    "op6_toxicity": lambda s, d: toxicity.score_toxicity(table(s, d, "documents"), table(s, d, "labels")),
     "op7_mixing": lambda s, d: mixing.by_position(mixing.mix_sources(table(s, d, "documents"))).select("doc_id", "size", "source_size", "target", "taken"),
     "op8_quality": lambda s, d: quality.score_quality(table(s, d, "documents")),
     "op9_token_counts": lambda s, d: token_counts.token_counts(table(s, d, "documents")),

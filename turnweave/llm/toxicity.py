@@ -3,7 +3,7 @@
 Trained in numpy on a bounded sample of labelled rows. Scoring slides over the whole text; each filter's product
 with each embedding is a table, so that a window is a sum of looked-up rows. Thresholds by language are
 calibrated for a stated share of false alarms, on the labelled training rows the model was not fitted on, and
-decide what is toxic; the score itself sees the text alone.
+decide what counts as toxic in a row's language; the score itself sees the text alone.
 """
 
 from __future__ import annotations
@@ -104,14 +104,18 @@ class ConvNet:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[ConvNet, dict[str, float]]:
-    """(model, threshold by language); the model is fitted on at most ``per_class`` rows of each label, those of least hash.
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(_id, _y) of the rows that may be learnt from: crc32(doc_id) mod 3 is not 1; an id with two labels counts as toxic."""
+    y = labels.filter("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1")
+    return y.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_y"))
 
-    Thresholds come from the other non-toxic rows. In a language of which under 100 are left, the fitted ones are added,
-    each scored by a model of the other half, so that no row is judged by a model that saw it. Rows with
-    crc32(doc_id) mod 3 = 1 are held out. Without rows of both labels the model says 0.5 at most."""
-    y = labels.filter("toxic is not null and crc32(cast(doc_id as string)) % 3 <> 1").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
-    y = y.groupBy("_id").agg(F.max("_y").alias("_y"))
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[ConvNet, list]:
+    """(model, rows it was fitted on): at most ``per_class`` rows of each label, those of least hash.
+
+    Without rows of both labels the model gives every text 0.5 or less.
+    """
+    y = _labelled(labels)
     picked = None
     for label in (0, 1):
         one = y.filter(F.col("_y") == label).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
@@ -122,40 +126,58 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         for f in frames:
             yield pd.DataFrame({"k": f._id, "y": f._y, "lang": f.lang, "ids": [_ids(t) for t in f.text]})
 
-    rows = docs.select("doc_id", "text", "lang").join(picked, F.col("doc_id") == F.col("_id"))
-    rows = rows.select("_id", "_y", "lang", "text").mapInPandas(ids, "k bigint, y int, lang string, ids array<int>").orderBy("k").collect()
+    # two times per_class ids at most, whatever the tables hold
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    rows = rows.select("_id", "_y", "lang", "text").mapInPandas(ids, "k bigint, y int, lang string, ids array<int>").collect()
+    rows.sort(key=lambda r: (r.k, r.lang or "", r.ids))
     net = ConvNet()
-    x, y_ = [np.array(r.ids, np.int32) for r in rows], np.array([r.y for r in rows], np.float32)
-    if len(set(y_)) < 2:
+    if len({r.y for r in rows}) < 2:
         net.out[:] = 0
-        return net, {}
-    net.fit(x, y_)
-    counts: dict[str, np.ndarray] = {}
-    rest = y.filter("_y = 0").join(picked.select("_id"), "_id", "left_anti")
-    rest = docs.select("doc_id", "text", "lang").join(rest, F.col("doc_id") == F.col("_id")).select("text", "lang")
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+        return net, []
+    return net.fit([np.array(r.ids, np.int32) for r in rows], np.array([r.y for r in rows], np.float32)), rows
+
 
-    def scored(frames):
+def scores(docs: DataFrame, net: ConvNet) -> DataFrame:
+    """(doc_id, lang, score) of every whole text; null is empty. Staged: narrow, and read by all that follows."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
+
+    def run(frames):
         tables = shared.value.tables()
         for f in frames:
-            yield pd.DataFrame({"lang": f.lang, "b": [min(BINS - 1, int(BINS * shared.value.score(_ids(t), tables))) for t in f.text]})
+            yield pd.DataFrame({"doc_id": f.doc_id, "lang": f.lang, "score": [shared.value.score(_ids(t), tables) for t in f.text]})
+
+    return stage(docs.select("doc_id", "text", "lang").mapInPandas(run, "doc_id bigint, lang string, score double"), "scores")
+
 
-    for r in rest.mapInPandas(scored, "lang string, b int").groupBy("lang", "b").agg(F.count(F.lit(1)).alias("c")).collect():
+def calibrate(scored: DataFrame, labels: DataFrame, fitted: list) -> dict[str, float]:
+    """Threshold of each language, from all non-toxic rows that may be learnt from and the model was not fitted on.
+
+    In a language of which under 100 are left, the fitted ones are added, each scored by a model of the other half, so that no
+    row is judged by a model that saw it. A language that still has fewer has no threshold.
+    """
+    if not fitted:
+        return {}
+    counts: dict[str, np.ndarray] = {}
+    seen = scored.sparkSession.createDataFrame([(k,) for k in {r.k for r in fitted}], "_id bigint")
+    rest = _labelled(labels).filter("_y = 0").join(F.broadcast(seen), "_id", "left_anti")
+    bins = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+    for r in scored.join(rest, F.col("doc_id") == F.col("_id")).groupBy("lang", bins.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect():
         counts.setdefault(r.lang, np.zeros(BINS, np.int64))[r.b] = r.c
     few = 1 / FALSE_ALARMS
-    short = {r.lang for r in rows if counts.get(r.lang, np.zeros(1)).sum() < few}
+    short = {r.lang for r in fitted if counts.get(r.lang, np.zeros(1)).sum() < few}
     if short:
-        part = np.arange(len(rows)) % 2
+        x, y = [np.array(r.ids, np.int32) for r in fitted], np.array([r.y for r in fitted], np.float32)
+        part = np.arange(len(fitted)) % 2
         for half in (0, 1):
-            if len(set(y_[part != half])) < 2:
+            if len(set(y[part != half])) < 2:
                 continue
-            other = ConvNet().fit([x[k] for k in np.flatnonzero(part != half)], y_[part != half])
+            other = ConvNet().fit([x[k] for k in np.flatnonzero(part != half)], y[part != half])
             tables = other.tables()
             for k in np.flatnonzero(part == half):
-                if y_[k] == 0 and rows[k].lang in short:
+                if y[k] == 0 and fitted[k].lang in short:
                     b = min(BINS - 1, int(BINS * other.score(x[k], tables)))
-                    counts.setdefault(rows[k].lang, np.zeros(BINS, np.int64))[b] += 1
-    return net, {k: threshold(c) for k, c in counts.items() if k is not None and c.sum() >= few}
+                    counts.setdefault(fitted[k].lang, np.zeros(BINS, np.int64))[b] += 1
+    return {k: threshold(c) for k, c in counts.items() if k is not None and c.sum() >= few}
 
 
 def threshold(counts: np.ndarray, share: float = FALSE_ALARMS) -> float:
@@ -164,35 +186,43 @@ def threshold(counts: np.ndarray, share: float = FALSE_ALARMS) -> float:
     return int(np.argmax(above <= share * counts.sum())) / len(counts)
 
 
-def score_toxicity(docs: DataFrame, net: ConvNet, thresholds: dict[str, float], cut: float = CUT) -> DataFrame:
-    """(doc_id, held_out, score, predicted, threshold): every whole text; null is empty, a null id gives a null held_out.
+def _limit(thresholds: dict[str, float], cut: float):
+    """The threshold of a row's language, ``cut`` where there is none; LOWEST at least. A few languages, so a literal."""
+    out = F.lit(max(LOWEST, cut))
+    for lang, t in sorted(thresholds.items()):
+        out = F.when(F.col("lang") == lang, max(LOWEST, t)).otherwise(out)
+    return out
 
-    ``threshold`` is the calibrated one of the row's language, ``cut`` where there is none; at least 0.5. It decides
-    ``predicted``."""
-    shared = docs.sparkSession.sparkContext.broadcast((net, thresholds))  # the size is that of the model, whatever the data
 
-    def run(frames):
-        model, limit = shared.value
-        tables = model.tables()
-        for f in frames:
-            s = [model.score(_ids(t), tables) for t in f.text]
-            yield pd.DataFrame({"doc_id": f.doc_id, "lang": f.lang, "score": s, "threshold": [max(LOWEST, limit.get(x, cut)) for x in f.lang]})
+def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """(doc_id, held_out, score, predicted, threshold, toxic): one row for each row of ``docs``.
 
-    out = docs.select("doc_id", "text", "lang").mapInPandas(run, "doc_id bigint, lang string, score double, threshold double")
+    ``predicted`` is 1 from a score of ``cut`` on. ``toxic`` is the verdict of the language's calibrated threshold. Null text is
+    empty; a null id gives a null held_out; repeated rows are scored each; other columns are not read, whatever their names. An
+    empty table gives an empty result, no labels scores of 0.5 or less.
+    """
+    net, fitted = fit(docs, labels)
+    scored = scores(docs, net)
+    limit = _limit(calibrate(scored, labels, fitted), cut)
     held = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= F.col("threshold")).cast("int").alias("predicted"), "threshold")
+    said = lambda t: (F.col("score") >= t).cast("int")
+    return scored.select("doc_id", held.alias("held_out"), "score", said(F.lit(cut)).alias("predicted"), limit.alias("threshold"), said(limit).alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows whose text scores under the threshold of their language, ``cut`` where there is none; all columns kept.
 
-    Ids may repeat or be null: a text decides for its own row."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    Ids may repeat or be null: a text decides for its own row. Texts are scored twice, once narrow for the thresholds and once
+    to filter, since a second write of the whole table would cost more.
+    """
+    net, fitted = fit(docs, labels)
+    thresholds = calibrate(scores(docs, net), labels, fitted) if fitted else {}
+    shared = docs.sparkSession.sparkContext.broadcast((net, thresholds))
 
     def run(frames):
-        net, limit = shared.value
-        tables = net.tables()
+        model, limit = shared.value
+        tables = model.tables()
         for f in frames:
-            yield f[[net.score(_ids(t), tables) < max(LOWEST, limit.get(x, cut)) for t, x in zip(f.text, f.lang)]]
+            yield f[[model.score(_ids(t), tables) < max(LOWEST, limit.get(x, cut)) for t, x in zip(f.text, f.lang)]]
 
     return docs.mapInPandas(run, docs.schema)
