@@ -1,3 +1,4 @@
+import json
 import os
 import time
 
@@ -5,7 +6,8 @@ from conftest import assistant, collect, txt, user, write_lines
 from pyspark.sql import functions as F
 
 from turnweave.operators.catalogue import token_totals
-from turnweave.operators.entries import parse_entries
+from turnweave.operators.entries import by_file, parse_entries, plain_ids
+from turnweave.sources import tail
 from turnweave.sources.transcripts import scan_transcripts
 from turnweave.streaming import live
 
@@ -14,86 +16,118 @@ def turn(i, out, stop=None):
     return assistant(f"a{i}", [txt("t")], requestId=f"r{i // 2}", usage={"input_tokens": i, "output_tokens": out}, stop=stop)
 
 
-def test_landing_and_streamed_tokens_equal_batch(spark, tmp_path):
-    root, landing, out, ck = (str(tmp_path / n) for n in ("root", "landing", "out", "ck"))
-    path = f"{root}/p/s.jsonl"
-    manifest = spark.createDataFrame([], live.MANIFEST)
-    steps = [
-        ([turn(0, 5), turn(1, 9)], "\n"),
-        ([turn(0, 5), turn(1, 9), turn(2, 1, "end_turn"), '{"type":"assist'], ""),
-        ([turn(0, 5), turn(1, 9), turn(2, 1, "end_turn"), turn(3, 80)], "\n"),
-    ]
-    landed = []
-    for i, (rows, end) in enumerate(steps):
-        write_lines(path, rows, end)
-        os.utime(path, (1000 + i, 1000 + i))
-        fresh, manifest = live.land_lines(scan_transcripts(spark, root), manifest)
-        fresh = fresh.select("path", "file_role", "project_key", "session_id", "agent_id", "mtime", "file_size", "epoch", "line_no", "value")
-        fresh.write.mode("append").parquet(landing)
-        landed.append(fresh.count())
-        manifest = spark.createDataFrame(manifest.collect(), live.MANIFEST)
-        q = live.start_token_totals(live.stream_entries(live.stream_lines(spark, landing)), out, ck, {"availableNow": True})
-        q.awaitTermination(120)
-        assert q.exception() is None
-    assert landed == [2, 1, 1]
-    want = collect(token_totals(parse_entries(scan_transcripts(spark, root)), "live"))
-    assert collect(live.read_token_totals(spark, out).select(*want[0])) == want
-    # a shorter file starts a new epoch, whose totals replace the old ones
-    write_lines(path, [turn(8, 3)])
-    fresh, _ = live.land_lines(scan_transcripts(spark, root), manifest)
-    assert [(r["epoch"], r["line_no"]) for r in fresh.collect()] == [(1, 0)]
+ONCE = {"availableNow": True}
+
+
+def ended(q):
+    q.awaitTermination(180)
+    assert q.exception() is None
+
+
+def test_streamed_tokens_equal_batch(spark, tmp_path):
+    """Two projects with one session id, snapshots that come late, a sub-agent file, a torn line and a file that starts anew."""
+    root, state, out, ck = (str(tmp_path / n) for n in ("root", "state", "out", "ck"))
+    agent = f"{root}/p/s/subagents/agent-x.jsonl"
+
+    def step():
+        entries = parse_entries(tail.tail_transcripts(spark, root, state))
+        ended(live.start_token_totals(entries, out, ck, ONCE))
+
+    def check():
+        whole = by_file(parse_entries(scan_transcripts(spark, root)))
+        want = collect(plain_ids(token_totals(whole, "live")), "project_key")
+        got = collect(live.read_token_totals(spark, out).filter("total_tokens > 0").select(*want[0]), "project_key")
+        assert got == want
+
+    write_lines(f"{root}/p/s.jsonl", [turn(0, 5), turn(1, 9)])
+    write_lines(f"{root}/q/s.jsonl", [turn(i, 100 + i) for i in range(9)])
+    step()
+    check()
+    write_lines(f"{root}/p/s.jsonl", [turn(0, 5), turn(1, 9), turn(2, 1, "end_turn"), '{"type":"assist'], "")
+    write_lines(agent, [turn(2, 700), turn(5, 11, "end_turn"), {**turn(6, 12), "requestId": ""}])
+    step()
+    write_lines(f"{root}/p/s.jsonl", [turn(0, 5), turn(1, 9), turn(2, 1, "end_turn"), turn(3, 80)])
+    step()
+    check()
+    # a shorter file starts anew, and the sums of its other lines go although their shares see nothing new
+    write_lines(f"{root}/q/s.jsonl", [turn(2, 3)])
+    step()
+    check()
+    write_lines(f"{root}/q/s.jsonl", ['{"type":"user"}'])
+    step()
+    check()
+
+
+def test_request_state_falls_after_idleness(spark, tmp_path):
+    """Snapshots go an idle time after the last line, sums stay."""
+    src, ck, out = (str(tmp_path / n) for n in ("in", "ck", "out"))
+    schema = "project_key string, session_id string, agent_id string, epoch bigint, line_no bigint, value string"
+    rows = [("p", f"s{i % 5}", "", 0, i, json.dumps({**turn(i, 3), "requestId": f"r{i}"})) for i in range(200)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    entries = parse_entries(spark.readStream.schema(schema).parquet(src))
+    q = live.start_token_totals(entries, out, ck, {"processingTime": "500 milliseconds"}, idle_ms=1500)
+    seen, end = [], time.time() + 90
+    try:
+        while time.time() < end and q.exception() is None:
+            seen += [(p["batchId"], p["stateOperators"][0]["numRowsTotal"]) for p in q.recentProgress if p["stateOperators"]][len(seen):]
+            if len(seen) > 1 and seen[-1][1] < seen[0][1] - 150:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert q.exception() is None and seen[0][1] >= 200 and seen[-1][1] <= seen[0][1] - 200
+    got = live.read_token_totals(spark, out).agg(F.sum("output_tokens"), F.count("*")).first()
+    assert tuple(got) == tuple(token_totals(parse_entries(spark.createDataFrame(rows, schema)), "live").agg(F.sum("output_tokens"), F.count("*")).first())
 
 
 def test_watch_sessions(spark, tmp_path):
     """Only changes are told, and the end of an ongoing session that falls silent."""
-    schema = "session_id string, seq bigint, message_count bigint, item_count bigint, ongoing boolean"
     src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
-    batches = [[("s", 1, 2, 3, False)], [("s", 2, 2, 3, False)], [("s", 3, 2, 4, False), ("t", 3, 1, 0, True)]]
+    batches = [[("p", "s", 1, 2, 3, False), ("q", "s", 1, 7, 7, False)], [("p", "s", 2, 2, 3, False)], [("p", "s", 3, 2, 4, False), ("p", "t", 3, 1, 0, True)]]
     seen = []
 
     def keep(df, _):
         seen.extend(df.collect())
 
-    spark.createDataFrame([], schema).write.parquet(src)
-    stream = live.watch_sessions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), stale_seconds=3)
+    spark.createDataFrame([], live.UPDATES).write.parquet(src)
+    stream = live.watch_sessions(spark.readStream.schema(live.UPDATES).option("maxFilesPerTrigger", 1).parquet(src), stale_seconds=3)
     q = stream.writeStream.outputMode("append").option("checkpointLocation", ck).foreachBatch(keep).trigger(processingTime="1 second").start()
     try:
         for rows in batches:
-            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+            spark.createDataFrame(rows, live.UPDATES).coalesce(1).write.mode("append").parquet(src)
             time.sleep(1)
-        end = time.time() + 40
+        end = time.time() + 60
         while time.time() < end and not any(r["reason"] == "stale" for r in seen) and q.exception() is None:
             time.sleep(0.5)
     finally:
         q.stop()
     assert q.exception() is None
-    told = sorted((r["session_id"], r["item_count"], r["ongoing"], r["reason"]) for r in seen)
-    assert told == [("s", 3, False, "change"), ("s", 4, False, "change"), ("t", 0, False, "stale"), ("t", 0, True, "change")]
+    told = sorted((r["project_key"], r["session_id"], r["item_count"], r["ongoing"], r["reason"]) for r in seen)
+    assert told == [("p", "s", 3, False, "change"), ("p", "s", 4, False, "change"), ("p", "t", 0, False, "stale"), ("p", "t", 0, True, "change"), ("q", "s", 7, False, "change")]
 
 
 def test_session_updates_stream(spark, tmp_path):
     """Each batch recomputes only touched sessions and tells only changes."""
-    landing, out, ck = (str(tmp_path / n) for n in ("landing", "out", "ck"))
+    root, state, out, ck, ck2 = (str(tmp_path / n) for n in ("root", "state", "out", "ck", "ck2"))
     calls = []
     counts = {"v": 1}
 
     def build(touched):
-        calls.append(sorted(r["session_id"] for r in touched.collect()))
-        return touched.select("session_id", F.lit(counts["v"]).cast("bigint").alias("message_count"), F.lit(0).cast("bigint").alias("item_count"), F.lit(False).alias("ongoing"))
-
-    def land(sid, n):
-        row = (f"/{sid}", "main", "p", sid, "", None, 1, 0, n, "{}")
-        spark.createDataFrame([row], live.LANDED).coalesce(1).write.mode("append").parquet(landing)
+        calls.append(sorted((r["project_key"], r["session_id"]) for r in touched.collect()))
+        n = F.lit(counts["v"]).cast("bigint").alias("message_count")
+        return touched.select("project_key", "session_id", n, F.lit(0).cast("bigint").alias("item_count"), F.lit(False).alias("ongoing"))
 
-    for v, sid in ((1, "a"), (1, "a"), (2, "a")):
+    write_lines(f"{root}/p/other.jsonl", ["{}"])
+    for v in (1, 1, 2):
         counts["v"] = v
-        land(sid, len(calls))
-        q = live.start_session_updates(live.stream_lines(spark, landing), build, out, ck, {"availableNow": True})
-        q.awaitTermination(120)
-        assert q.exception() is None
-    assert calls == [["a"], ["a"], ["a"]]
+        os.makedirs(f"{root}/p", exist_ok=True)
+        with open(f"{root}/p/a.jsonl", "a") as f:
+            f.write("{}\n")
+        ended(live.start_session_updates(tail.tail_transcripts(spark, root, state), build, out, ck, ONCE))
+        ended(live.start_watch(spark, out, ck2, ONCE))
+    assert calls == [[("p", "a"), ("p", "other")], [("p", "a")], [("p", "a")]]
     rows = spark.read.parquet(f"{out}/updates").collect()
-    assert sorted((r["batch_id"], r["message_count"]) for r in rows) == [(0, 1), (2, 2)]
+    assert sorted((r["session_id"], r["message_count"]) for r in rows) == [("a", 1), ("a", 2), ("other", 1)]
 
 
 def test_replayed_lines(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,12 +167,12 @@ def first_messages(entries: DataFrame, max_lines: int | None = None) -> DataFram
 # --- tokens and cost -------------------------------------------------------------------------------
 
 
-def token_rows(entries: DataFrame, mode: str = "catalogue") -> DataFrame:
+def token_rows(entries: DataFrame, mode: str = "catalogue", extra: Sequence[str] = ()) -> DataFrame:
     """Usage rows of assistant entries.
 
     ``catalogue``: main entries need a uuid and are not inherited; output is estimated for unfinished
     main entries only; all-zero sub-agent rows are skipped. ``live``: no uuid needed, inherited rows
-    skipped and output estimated everywhere, all-zero rows skipped.
+    skipped and output estimated everywhere, all-zero rows skipped. ``extra``: columns to carry along.
     """
     c = F.col
     spoken = (c("type") == "assistant") & (c("model") != SYNTHETIC) & c("has_usage")
@@ -183,6 +185,7 @@ def token_rows(entries: DataFrame, mode: str = "catalogue") -> DataFrame:
     ).otherwise(c("output_tokens"))
     rows = entries.filter(spoken & allowed).select(
         *IDENTITY,
+        *extra,
         "line_no",
         "request_id",
         "model",

@@ -29,6 +29,23 @@ IDENTITY = ["session_id", "agent_id"]
 KEY = [*IDENTITY, "line_no"]
 
 
+def by_file(df: DataFrame) -> DataFrame:
+    """Make ``session_id`` the key of a session file: its project directory and its id.
+
+    Two project directories may hold the same session id. All operators tell sessions apart by ``session_id``, so whole plans
+    run on this key and give the plain columns back with ``plain_ids``.
+    """
+    return df.withColumn("session_id", F.concat("project_key", F.lit("/"), "session_id"))
+
+
+def plain_ids(df: DataFrame) -> DataFrame:
+    """Take the key of ``by_file`` apart again. Directory and file names hold no slash."""
+    cut = F.instr("session_id", "/")
+    parts = {"project_key": F.expr("left(session_id, instr(session_id, '/') - 1)"), "session_id": F.substring(F.col("session_id"), cut + 1, F.length("session_id"))}
+    first = [] if "project_key" in df.columns else [parts["project_key"].alias("project_key")]
+    return df.select(*first, *[parts[n].alias(n) if n in parts else F.col(n) for n in df.columns])
+
+
 def repair_surrogates(c: Column) -> Column:
     """Lone UTF-16 surrogate escapes become the replacement character; valid pairs stay."""
     high, low = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"

@@ -1,7 +1,7 @@
-"""Live transcripts: landing of appended lines, streaming tokens, session updates.
+"""Live transcripts: streamed tokens, session updates and the watch for changes.
 
-Spark's file source reads a file once. A landing job therefore copies appended whole lines as new
-Parquet files; streams read the landing folder. A file that shrank starts a new epoch.
+Lines come from ``sources.tail.tail_transcripts``, which reads appended bytes only; a file that shrank starts a new epoch. What
+must be remembered is kept in stateful operators with timers and expiry, so no batch reads what an earlier one wrote.
 """
 
 from __future__ import annotations
@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions import tokens
 from ..operators import catalogue, chunks, messages
@@ -21,60 +20,13 @@ from ..operators.classify import USAGE
 from ..operators.entries import parse_entries
 from ..plans.runtime import stage
 from ..plans.views import SessionView
-from ..sources.tables import changed_files, touched_sessions
 
 SID = "session_id"
-LANDED = (
-    "path string, file_role string, project_key string, session_id string, agent_id string, mtime timestamp, "
-    "file_size bigint, epoch bigint, line_no bigint, value string"
-)
-MANIFEST = "path string, mtime timestamp, file_size bigint, line_count bigint, epoch bigint"
+FILE = ["project_key", SID]
 TRIGGER = "1 second"
-
-
-def whole_lines(lines: DataFrame) -> DataFrame:
-    """Lines that end with a line break; the torn last line of a growing file waits.
-
-    The bytes of all lines with their breaks exceed the file size by one exactly when the last break
-    is missing.
-    """
-    c = F.col
-    sizes = lines.groupBy("path").agg(
-        F.sum(F.octet_length("value").cast("bigint") + 1).alias("__bytes"), F.max("line_no").alias("__last")
-    )
-    torn = lines.select("path", "file_size").distinct().join(sizes, "path").filter(c("__bytes") == c("file_size") + 1)
-    return lines.join(torn.select("path", c("__last").alias("line_no")), ["path", "line_no"], "left_anti")
-
-
-def land_lines(lines: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new lines, new manifest) of scanned lines against the last manifest."""
-    c = F.col
-    listing = lines.select("path", "mtime", "file_size").distinct()
-    changed = changed_files(listing, manifest).select("path")
-    known = manifest.select("path", c("line_count").alias("__seen"), c("file_size").alias("__size"), c("epoch").alias("__epoch"))
-    ready = whole_lines(lines.join(changed, "path", "left_semi")).join(known, "path", "left")
-    shrunk = F.coalesce(c("file_size") < c("__size"), F.lit(False))
-    placed = ready.withColumns(
-        {
-            "epoch": F.coalesce(c("__epoch"), F.lit(0)) + shrunk.cast("bigint"),
-            "__from": F.when(shrunk, 0).otherwise(F.coalesce(c("__seen"), F.lit(0))),
-        }
-    )
-    fresh = placed.filter(c("line_no") >= c("__from")).drop("__seen", "__size", "__epoch", "__from")
-    counted = placed.groupBy("path").agg(
-        F.max("mtime").alias("mtime"), F.max("file_size").alias("file_size"),
-        (F.max("line_no") + 1).alias("line_count"), F.max("epoch").alias("epoch"),
-    )
-    kept = manifest.join(counted.select("path"), "path", "left_anti")
-    return fresh, kept.unionByName(counted)
-
-
-def stream_lines(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """Stream of landed lines."""
-    reader = spark.readStream.schema(LANDED)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(landing)
+SHARES = 16  # a session's requests are spread over so many states
+IDLE_MS = 3_600_000  # after an hour without lines a session's open requests are taken as finished
+KEEP_MS = 7 * 86_400_000  # what was last told of a session is forgotten after a week of silence
 
 
 def stream_entries(lines: DataFrame) -> DataFrame:
@@ -93,44 +45,116 @@ def drop_replayed(entries: DataFrame, delay: str = "1 hour") -> DataFrame:
     return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark([SID, "agent_id", "epoch", "__key"]).drop("__key")
 
 
-def stream_requests(entries: DataFrame) -> DataFrame:
-    """Best token snapshot per request as streaming state, over main and sub-agent lines."""
+# --- streamed totals --------------------------------------------------------------------------------
+
+_SUMS = (*USAGE, "cost_units")
+_LONGS = ", ".join(f"{n} bigint" for n in _SUMS)
+TOTALS = f"project_key string, session_id string, share int, agent_id string, epoch bigint, {_LONGS}"
+
+
+def usage_rows(entries: DataFrame) -> DataFrame:
+    """Usage rows of a stream of entries: what is counted, its rank among the snapshots of its request and its price.
+
+    Any line of a file that started anew also gives a row without a request, so that the old sums of the file go.
+    """
     c = F.col
-    rows = catalogue.token_rows(entries.withColumn("agent_id", c("agent_id")), "live")
-    with_epoch = rows if "epoch" in rows.columns else rows.withColumn("epoch", F.lit(0).cast("bigint"))
+    rows = catalogue.token_rows(entries, "live", extra=["project_key", "epoch"])
     # a row without a request id is a request of its own
     own = F.concat_ws("/", F.lit("#"), c("agent_id"), c("line_no").cast("string"))
-    keyed = with_epoch.withColumn("__id", F.when(c("request_id") != "", c("request_id")).otherwise(own))
-    price_model = F.when(c("request_id") != "", c("model")).otherwise("")
-    snap = F.struct(price_model.alias("model"), *USAGE)
-    rank = F.struct("has_stop", "output_tokens", "agent_id", "line_no")
-    return (
-        keyed.groupBy(SID, "epoch", c("__id").alias("request_id"))
-        .agg(F.max_by(snap, rank).alias("s"))
-        .select(SID, "epoch", "request_id", "s.*")
-    )
+    priced = tokens.cost_units(F.when(c("request_id") != "", c("model")).otherwise(""), *[c(u) for u in USAGE])
+    keyed = rows.withColumns({"request_id": F.when(c("request_id") != "", c("request_id")).otherwise(own), "cost_units": priced.cast("bigint")})
+    kept = [*FILE, "epoch", "request_id", "has_stop", "agent_id", "line_no", *_SUMS]
+    anew = entries.filter("epoch > 0").select(
+        *FILE, "epoch", F.lit("").alias("request_id"), F.lit(False).alias("has_stop"), "agent_id", "line_no",
+        *[F.lit(0).cast("bigint").alias(n) for n in _SUMS],
+    )
+    return keyed.select(*kept).unionByName(anew).withColumn("share", F.pmod(F.xxhash64("request_id"), F.lit(SHARES)).cast("int"))
+
 
+class RequestTotals(StatefulProcessor):
+    """Sums of one share of a session's requests, by file of the session.
+
+    State: the best snapshot of each open request, dropped after ``idle_ms`` without lines, and one row of sums a file. A snapshot
+    that beats the one before moves the difference. A later epoch of a file starts its sums anew; lines of an earlier one are past.
+    """
 
-def start_token_totals(entries: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep request snapshots below ``out``; a repeated batch overwrites its own folder."""
+    def __init__(self, idle_ms: int = IDLE_MS):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getMapState("best", "request_id string", f"agent_id string, epoch bigint, has_stop boolean, line_no bigint, {_LONGS}")
+        self.sums = handle.getMapState("sums", "agent_id string", f"epoch bigint, {_LONGS}")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        sums: dict[str, list[int]] = {}  # of the files met in this batch: epoch, then sums
+        out = USAGE.index("output_tokens")
+
+        def of(agent: str) -> list[int] | None:
+            if agent not in sums and self.sums.containsKey((agent,)):
+                sums[agent] = [int(x) for x in self.sums.getValue((agent,))]
+            return sums.get(agent)
+
+        for frame in rows:
+            for r in frame.sort_values("epoch").itertuples(index=False):
+                own = of(r.agent_id)
+                if own is None or r.epoch > own[0]:
+                    own = sums[r.agent_id] = [int(r.epoch), *[0] * len(_SUMS)]
+                if r.epoch < own[0] or r.request_id == "":
+                    continue
+                new = [int(getattr(r, n)) for n in _SUMS]
+                old = self.best.getValue((r.request_id,)) if self.best.containsKey((r.request_id,)) else None
+                if old is not None:
+                    loser = of(old[0])
+                    if loser is None or loser[0] != int(old[1]):
+                        old = None  # of a file that started anew since
+                if old is not None:
+                    was = [int(x) for x in old[4:]]
+                    if (bool(r.has_stop), new[out], r.agent_id, int(r.line_no)) <= (bool(old[2]), was[out], old[0], int(old[3])):
+                        continue
+                    loser[1:] = [s - w for s, w in zip(loser[1:], was)]
+                self.best.updateValue((r.request_id,), (r.agent_id, int(r.epoch), bool(r.has_stop), int(r.line_no), *new))
+                own[1:] = [s + n for s, n in zip(own[1:], new)]
+        for agent, row in sums.items():
+            self.sums.updateValue((agent,), tuple(row))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame([(*key, agent, *row) for agent, row in sums.items()], columns=[*FILE, "share", "agent_id", "epoch", *_SUMS])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.best.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_totals(entries: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Token sums of each (project, session, share) that a batch touches, from a stream of entries."""
+    return usage_rows(entries).groupBy(*FILE, "share").transformWithStateInPandas(RequestTotals(idle_ms), TOTALS, "Update", "ProcessingTime")
+
+
+def start_token_totals(entries: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, idle_ms: int = IDLE_MS) -> StreamingQuery:
+    """Append the sums of touched sessions below ``out``; a repeated batch overwrites its own folder, none is read."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/requests/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/totals/batch_id={batch_id}")
 
-    writer = stream_requests(entries).writeStream.outputMode("update").foreachBatch(save)
+    writer = stream_totals(entries, idle_ms).writeStream.outputMode("update").foreachBatch(save)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": TRIGGER})).start()
 
 
 def read_token_totals(spark: SparkSession, out: str) -> DataFrame:
-    """Token sums and cost per session from the saved snapshots, of the latest epoch."""
+    """Token sums and cost per session: the last row of each share, of the latest epoch of each file."""
     c = F.col
-    rows = spark.read.parquet(f"{out}/requests")
-    snap = F.max_by(F.struct("model", *USAGE), "batch_id").alias("s")
-    latest = rows.groupBy(SID, "epoch", "request_id").agg(snap).select(SID, "epoch", "s.*")
-    units = tokens.cost_units(c("model"), *[c(u) for u in USAGE])
-    per_epoch = latest.groupBy(SID, "epoch").agg(*[F.sum(u).alias(u) for u in USAGE], tokens.usd(F.sum(units)).alias("cost_usd"))
-    last = per_epoch.groupBy(SID).agg(F.max_by(F.struct(*USAGE, "cost_usd"), "epoch").alias("s"))
-    return last.select(SID, "s.*").withColumn("total_tokens", sum((c(u) for u in USAGE[1:]), c(USAGE[0])))
+    rows = spark.read.schema(TOTALS + ", batch_id bigint").parquet(f"{out}/totals")
+    last = rows.groupBy(*FILE, "agent_id", "share").agg(F.max_by(F.struct("epoch", *_SUMS), "batch_id").alias("s")).select(*FILE, "agent_id", "s.*")
+    by_file = last.groupBy(*FILE, "agent_id", "epoch").agg(*[F.sum(n).alias(n) for n in _SUMS])
+    latest = by_file.groupBy(*FILE, "agent_id").agg(F.max_by(F.struct(*_SUMS), "epoch").alias("s")).select(*FILE, "s.*")
+    one = latest.groupBy(*FILE).agg(*[F.sum(n).alias(n) for n in _SUMS])
+    total = sum((c(u) for u in USAGE[1:]), c(USAGE[0]))
+    return one.select(*FILE, *USAGE, tokens.usd(c("cost_units")).alias("cost_usd"), total.alias("total_tokens"))
 
 
 # --- session updates -------------------------------------------------------------------------------
@@ -149,95 +173,80 @@ def session_updates(view: SessionView, totals: DataFrame) -> DataFrame:
     return out.withColumns({"ongoing": F.coalesce("ongoing", F.lit(False)), "permission_mode": named})
 
 
-def emit_on_change(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Updates worth telling: another message or item count, or ongoing now or before."""
-    c = F.col
-    old = previous.select(SID, c("message_count").alias("__m"), c("item_count").alias("__i"), c("ongoing").alias("__o"))
-    same = (c("message_count") == F.coalesce("__m", F.lit(0))) & (c("item_count") == F.coalesce("__i", F.lit(0)))
-    quiet = same & ~c("ongoing") & ~F.coalesce("__o", F.lit(False))
-    return current.join(old, SID, "left").filter(~quiet).drop("__m", "__i", "__o")
-
-
 def start_session_updates(lines: DataFrame, build, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """For each batch, call ``build(touched)`` for the sessions it touches and append what changed.
+    """For each batch, call ``build(touched)`` for the (project_key, session_id) rows it touches and append what comes out.
 
-    ``build`` takes (session_id) rows and returns session_updates of these sessions only.
+    ``build`` returns session_updates of these sessions only. Nothing written before is read: ``start_watch`` follows the rows
+    and tells the changes.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        touched = stage(batch.select(SID).distinct())
-        if touched.isEmpty():
-            return
-        current = stage(build(touched))
-        known = f"{out}/updates"
-        if batch_id == 0 or not _exists(spark, known):
-            previous = current.limit(0)
-        else:
-            history = spark.read.parquet(known).filter(F.col("batch_id") < batch_id).join(touched, SID, "left_semi")
-            last = F.max_by(F.struct("message_count", "item_count", "ongoing"), "batch_id")
-            previous = history.groupBy(SID).agg(last.alias("s")).select(SID, "s.*")
-        emit_on_change(current, previous).write.mode("overwrite").parquet(f"{known}/batch_id={batch_id}")
+        touched = stage(batch.select(*FILE).distinct())
+        if not touched.isEmpty():
+            rows = build(touched).withColumn("seq", F.lit(batch_id).cast("bigint"))
+            rows.write.mode("overwrite").parquet(f"{out}/current/batch_id={batch_id}")
 
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": TRIGGER})).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return False  # no batch has been written yet
+_STATE = "seq bigint, message_count bigint, item_count bigint, ongoing boolean"
+UPDATES = f"project_key string, session_id string, {_STATE}"
+EMITTED = "project_key string, session_id string, message_count bigint, item_count bigint, ongoing boolean, reason string"
 
 
-STATE = "message_count bigint, item_count bigint, ongoing boolean"
-EMITTED = "session_id string, message_count bigint, item_count bigint, ongoing boolean, reason string"
+class SessionWatch(StatefulProcessor):
+    """Remembers the last update of a session, and tells another message or item count, or being ongoing now or before.
 
+    A timer tells the end of an ongoing session that fell silent. The state expires ``keep_ms`` after its last change.
+    """
+
+    def __init__(self, stale_ms: int, keep_ms: int):
+        self.stale_ms, self.keep_ms = stale_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _STATE, self.keep_ms)
+
+    def _told(self, key, now: tuple, reason: str) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *now, reason)], columns=[*FILE, "message_count", "item_count", "ongoing", "reason"])
 
-def _watch(stale_ms: int):
-    def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            count, items, _ = state.get
-            state.update((count, items, False))
-            yield pd.DataFrame([(key[0], count, items, False, "stale")], columns=["session_id", "message_count", "item_count", "ongoing", "reason"])
+    def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        old = self.last.get() if self.last.exists() else (-1, 0, 0, False)
+        top = None  # one small row per update; only the latest matters
+        for frame in rows:
+            r = frame.loc[frame["seq"].idxmax()]
+            if top is None or r["seq"] > top["seq"]:
+                top = r
+        if top is None or int(top["seq"]) < int(old[0]):
             return
-        # one small row per update; only the latest matters
-        last = None
-        for frame in frames:
-            top = frame.loc[frame["seq"].idxmax()]
-            if last is None or top["seq"] > last["seq"]:
-                last = top
-        now = (int(last["message_count"]), int(last["item_count"]), bool(last["ongoing"]))
-        old = state.get if state.exists else (0, 0, False)
-        state.update(now)
+        now = (int(top["message_count"]), int(top["item_count"]), bool(top["ongoing"]))
+        self.last.update((int(top["seq"]), *now))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
         if now[2]:
-            state.setTimeoutDuration(stale_ms)
-        if now[:2] != tuple(old[:2]) or now[2] or old[2]:
-            yield pd.DataFrame([(key[0], *now, "change")], columns=["session_id", "message_count", "item_count", "ongoing", "reason"])
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stale_ms)
+        if now[:2] != (int(old[1]), int(old[2])) or now[2] or old[3]:
+            yield self._told(key, now, "change")
 
-    return step
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            seq, count, items, ongoing = self.last.get()
+            if ongoing:
+                self.last.update((seq, count, items, False))
+                yield self._told(key, (count, items, False), "stale")
 
+    def close(self) -> None:
+        pass
 
-def watch_sessions(updates: DataFrame, stale_seconds: int = catalogue.STALE_SECONDS) -> DataFrame:
-    """Stream of session changes from a stream of (session_id, seq, message_count, item_count, ongoing).
 
-    Emits only what changed, and the end of an ongoing session a minute after its last update. The
-    state per session is three values.
-    """
-    return updates.groupBy(SID).applyInPandasWithState(
-        _watch(stale_seconds * 1000), EMITTED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
-def refresh_catalogue(
-    entries: DataFrame, files: DataFrame, manifest: DataFrame, saved: DataFrame, now: Column
-) -> DataFrame:
-    """The catalogue with the rows of changed files computed anew; other rows are kept."""
-    touched = stage(touched_sessions(changed_files(files.select("path", "mtime", "file_size", "project_key", SID), manifest)))
-    fresh = catalogue.build_sessions(
-        entries.join(touched.select(SID), SID, "left_semi"), files.join(touched.select(SID), SID, "left_semi"), now
-    )
-    return saved.join(touched.select(SID), SID, "left_anti").unionByName(fresh)
+def watch_sessions(updates: DataFrame, stale_seconds: int = catalogue.STALE_SECONDS, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Stream of session changes from a stream of UPDATES rows, with the end of an ongoing session a minute after its last one."""
+    return updates.groupBy(*FILE).transformWithStateInPandas(SessionWatch(stale_seconds * 1000, keep_ms), EMITTED, "Append", "ProcessingTime")
+
+
+def start_watch(spark: SparkSession, out: str, checkpoint: str, trigger: dict | None = None, **limits) -> StreamingQuery:
+    """Follow the rows of ``start_session_updates`` below ``out`` and append the changes worth telling to ``out/updates``."""
+    rows = spark.readStream.schema(UPDATES).option("recursiveFileLookup", "true").parquet(f"{out}/current")
+    writer = watch_sessions(rows, **limits).writeStream.outputMode("append").format("parquet").option("path", f"{out}/updates")
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": TRIGGER})).start()
