@@ -2,6 +2,8 @@ import json
 import os
 import time
 
+import pandas as pd
+import pytest
 from conftest import assistant, collect, txt, user, write_lines
 from pyspark.sql import functions as F
 
@@ -19,12 +21,19 @@ def turn(i, out, stop=None):
 ONCE = {"availableNow": True}
 
 
+@pytest.fixture()
+def bounded(spark):
+    """With timers there is always a next batch; runs over what is there must not wait for them."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def ended(q):
-    q.awaitTermination(180)
-    assert q.exception() is None
+    assert q.awaitTermination(120) and q.exception() is None
 
 
-def test_streamed_tokens_equal_batch(spark, tmp_path):
+def test_streamed_tokens_equal_batch(spark, bounded, tmp_path):
     """Two projects with one session id, snapshots that come late, a sub-agent file, a torn line and a file that starts anew."""
     root, state, out, ck = (str(tmp_path / n) for n in ("root", "state", "out", "ck"))
     agent = f"{root}/p/s/subagents/agent-x.jsonl"
@@ -58,26 +67,46 @@ def test_streamed_tokens_equal_batch(spark, tmp_path):
     check()
 
 
-def test_request_state_falls_after_idleness(spark, tmp_path):
+class State:
+    """What a stateful step sees of its state."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.timeout = None, False, False, None
+
+    def update(self, row):
+        self.get, self.exists = row, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_request_state_falls_after_idleness():
     """Snapshots go an idle time after the last line, sums stay."""
-    src, ck, out = (str(tmp_path / n) for n in ("in", "ck", "out"))
-    schema = "project_key string, session_id string, agent_id string, epoch bigint, line_no bigint, value string"
-    rows = [("p", f"s{i % 5}", "", 0, i, json.dumps({**turn(i, 3), "requestId": f"r{i}"})) for i in range(200)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
-    entries = parse_entries(spark.readStream.schema(schema).parquet(src))
-    q = live.start_token_totals(entries, out, ck, {"processingTime": "500 milliseconds"}, idle_ms=1500)
-    seen, end = [], time.time() + 90
-    try:
-        while time.time() < end and q.exception() is None:
-            seen += [(p["batchId"], p["stateOperators"][0]["numRowsTotal"]) for p in q.recentProgress if p["stateOperators"]][len(seen):]
-            if len(seen) > 1 and seen[-1][1] < seen[0][1] - 150:
-                break
-            time.sleep(0.5)
-    finally:
-        q.stop()
-    assert q.exception() is None and seen[0][1] >= 200 and seen[-1][1] <= seen[0][1] - 200
-    got = live.read_token_totals(spark, out).agg(F.sum("output_tokens"), F.count("*")).first()
-    assert tuple(got) == tuple(token_totals(parse_entries(spark.createDataFrame(rows, schema)), "live").agg(F.sum("output_tokens"), F.count("*")).first())
+    state, step = State(), live._add_up(1500)
+    row = lambda i, out, epoch=0: ("p", "s", epoch, f"r{i}", False, "", i, 1, out, 0, 0, out)
+    names = ["project_key", "session_id", "epoch", "request_id", "has_stop", "agent_id", "line_no", *live._SUMS]
+    feed = lambda *rows: [tuple(r[4:]) for f in step(("p", "s", 3), [pd.DataFrame(rows, columns=names)], state) for r in f.itertuples(index=False)]
+    assert feed(*[row(i, 10) for i in range(500)]) == [(0, 500, 5000, 0, 0, 5000)]
+    assert feed(row(7, 12), row(8, 9)) == [(0, 500, 5002, 0, 0, 5002)]
+    full, state.hasTimedOut = len(state.get[0]), True
+    assert state.timeout == 1500 and list(step(("p", "s", 3), [], state)) == [] and len(state.get[0]) < full / 100
+    state.hasTimedOut = False
+    assert feed(row(900, 1)) == [(0, 501, 5003, 0, 0, 5003)]
+    assert feed(row(1, 4, epoch=1)) == [(1, 1, 4, 0, 0, 4)]
+    assert feed(row(2, 4)) == [(1, 1, 4, 0, 0, 4)]  # a line of the file before
+
+
+def test_watch_state_goes_after_silence():
+    state, step = State(), live._watch(10, 99)
+    rows = lambda *x: [pd.DataFrame([x], columns=["seq", "message_count", "item_count", "ongoing"])]
+    told = lambda frames: [tuple(r) for f in step(("p", "s"), frames, state) for r in f.itertuples(index=False)]
+    assert told(rows(1, 2, 3, True)) == [("p", "s", 2, 3, True, "change")] and state.timeout == 10
+    state.hasTimedOut = True
+    assert told([]) == [("p", "s", 2, 3, False, "stale")] and state.timeout == 99
+    assert told([]) == [] and not state.exists
 
 
 def test_watch_sessions(spark, tmp_path):
@@ -106,7 +135,7 @@ def test_watch_sessions(spark, tmp_path):
     assert told == [("p", "s", 3, False, "change"), ("p", "s", 4, False, "change"), ("p", "t", 0, False, "stale"), ("p", "t", 0, True, "change"), ("q", "s", 7, False, "change")]
 
 
-def test_session_updates_stream(spark, tmp_path):
+def test_session_updates_stream(spark, bounded, tmp_path):
     """Each batch recomputes only touched sessions and tells only changes."""
     root, state, out, ck, ck2 = (str(tmp_path / n) for n in ("root", "state", "out", "ck", "ck2"))
     calls = []

@@ -6,13 +6,14 @@ must be remembered is kept in stateful operators with timers and expiry, so no b
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import tokens
 from ..operators import catalogue, chunks, messages
@@ -71,68 +72,52 @@ def usage_rows(entries: DataFrame) -> DataFrame:
     return keyed.select(*kept).unionByName(anew).withColumn("share", F.pmod(F.xxhash64("request_id"), F.lit(SHARES)).cast("int"))
 
 
-class RequestTotals(StatefulProcessor):
+def _add_up(idle_ms: int):
     """Sums of one share of a session's requests, by file of the session.
 
-    State: the best snapshot of each open request, dropped after ``idle_ms`` without lines, and one row of sums a file. A snapshot
-    that beats the one before moves the difference. A later epoch of a file starts its sums anew; lines of an earlier one are past.
+    State, one row a share: the best snapshot of each open request, dropped after ``idle_ms`` without lines, and the sums of each
+    file. A snapshot that beats the one before moves the difference. A later epoch of a file starts its sums anew; lines of an
+    earlier one are past.
     """
+    out = USAGE.index("output_tokens")
+    zero = [0] * len(_SUMS)
 
-    def __init__(self, idle_ms: int = IDLE_MS):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getMapState("best", "request_id string", f"agent_id string, epoch bigint, has_stop boolean, line_no bigint, {_LONGS}")
-        self.sums = handle.getMapState("sums", "agent_id string", f"epoch bigint, {_LONGS}")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        sums: dict[str, list[int]] = {}  # of the files met in this batch: epoch, then sums
-        out = USAGE.index("output_tokens")
-
-        def of(agent: str) -> list[int] | None:
-            if agent not in sums and self.sums.containsKey((agent,)):
-                sums[agent] = [int(x) for x in self.sums.getValue((agent,))]
-            return sums.get(agent)
-
-        for frame in rows:
+    def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sums, best = json.loads(state.get[0]) if state.exists else ({}, {})
+        if state.hasTimedOut:
+            state.update((json.dumps([sums, {}]),))
+            return
+        met = set()
+        for frame in frames:
             for r in frame.sort_values("epoch").itertuples(index=False):
-                own = of(r.agent_id)
+                own = sums.get(r.agent_id)
                 if own is None or r.epoch > own[0]:
-                    own = sums[r.agent_id] = [int(r.epoch), *[0] * len(_SUMS)]
+                    own = sums[r.agent_id] = [int(r.epoch), *zero]
+                met.add(r.agent_id)
                 if r.epoch < own[0] or r.request_id == "":
                     continue
                 new = [int(getattr(r, n)) for n in _SUMS]
-                old = self.best.getValue((r.request_id,)) if self.best.containsKey((r.request_id,)) else None
-                if old is not None:
-                    loser = of(old[0])
-                    if loser is None or loser[0] != int(old[1]):
-                        old = None  # of a file that started anew since
-                if old is not None:
-                    was = [int(x) for x in old[4:]]
-                    if (bool(r.has_stop), new[out], r.agent_id, int(r.line_no)) <= (bool(old[2]), was[out], old[0], int(old[3])):
+                rank = [bool(r.has_stop), new[out], r.agent_id, int(r.line_no)]
+                old = best.get(r.request_id)
+                if old and old["epoch"] == sums[old["rank"][2]][0]:  # else its file started anew since
+                    if rank <= old["rank"]:
                         continue
-                    loser[1:] = [s - w for s, w in zip(loser[1:], was)]
-                self.best.updateValue((r.request_id,), (r.agent_id, int(r.epoch), bool(r.has_stop), int(r.line_no), *new))
+                    loser = sums[old["rank"][2]]
+                    loser[1:] = [s - w for s, w in zip(loser[1:], old["sums"])]
+                    met.add(old["rank"][2])
+                best[r.request_id] = {"rank": rank, "epoch": int(r.epoch), "sums": new}
                 own[1:] = [s + n for s, n in zip(own[1:], new)]
-        for agent, row in sums.items():
-            self.sums.updateValue((agent,), tuple(row))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame([(*key, agent, *row) for agent, row in sums.items()], columns=[*FILE, "share", "agent_id", "epoch", *_SUMS])
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.best.clear()
-        return iter(())
+        state.update((json.dumps([sums, best]),))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(*key, agent, *sums[agent]) for agent in sorted(met)], columns=[*FILE, "share", "agent_id", "epoch", *_SUMS])
 
-    def close(self) -> None:
-        pass
+    return step
 
 
 def stream_totals(entries: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Token sums of each (project, session, share) that a batch touches, from a stream of entries."""
-    return usage_rows(entries).groupBy(*FILE, "share").transformWithStateInPandas(RequestTotals(idle_ms), TOTALS, "Update", "ProcessingTime")
+    """Token sums of each (project, session, share, file) that a batch touches, from a stream of entries."""
+    shares = usage_rows(entries).groupBy(*FILE, "share")
+    return shares.applyInPandasWithState(_add_up(idle_ms), TOTALS, "state string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def start_token_totals(entries: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, idle_ms: int = IDLE_MS) -> StreamingQuery:
@@ -195,58 +180,48 @@ UPDATES = f"project_key string, session_id string, {_STATE}"
 EMITTED = "project_key string, session_id string, message_count bigint, item_count bigint, ongoing boolean, reason string"
 
 
-class SessionWatch(StatefulProcessor):
+def _watch(stale_ms: int, keep_ms: int):
     """Remembers the last update of a session, and tells another message or item count, or being ongoing now or before.
 
-    A timer tells the end of an ongoing session that fell silent. The state expires ``keep_ms`` after its last change.
+    A timer tells the end of an ongoing session that fell silent; the state of a quiet one goes after ``keep_ms``.
     """
 
-    def __init__(self, stale_ms: int, keep_ms: int):
-        self.stale_ms, self.keep_ms = stale_ms, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", _STATE, self.keep_ms)
-
-    def _told(self, key, now: tuple, reason: str) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *now, reason)], columns=[*FILE, "message_count", "item_count", "ongoing", "reason"])
-
-    def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        old = self.last.get() if self.last.exists() else (-1, 0, 0, False)
-        top = None  # one small row per update; only the latest matters
-        for frame in rows:
-            r = frame.loc[frame["seq"].idxmax()]
-            if top is None or r["seq"] > top["seq"]:
-                top = r
-        if top is None or int(top["seq"]) < int(old[0]):
-            return
-        now = (int(top["message_count"]), int(top["item_count"]), bool(top["ongoing"]))
-        self.last.update((int(top["seq"]), *now))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if now[2]:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stale_ms)
-        if now[:2] != (int(old[1]), int(old[2])) or now[2] or old[3]:
-            yield self._told(key, now, "change")
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
-            seq, count, items, ongoing = self.last.get()
-            if ongoing:
-                self.last.update((seq, count, items, False))
-                yield self._told(key, (count, items, False), "stale")
-
-    def close(self) -> None:
-        pass
+    def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = state.get if state.exists else (-1, 0, 0, False)
+        if state.hasTimedOut:
+            if not old[3]:
+                state.remove()
+                return
+            now, reason = (old[1], old[2], False), "stale"
+            state.update((old[0], *now))
+        else:
+            top = None  # one small row per update; only the latest matters
+            for frame in frames:
+                r = frame.loc[frame["seq"].idxmax()]
+                if top is None or r["seq"] > top["seq"]:
+                    top = r
+            now, reason = (int(top["message_count"]), int(top["item_count"]), bool(top["ongoing"])), "change"
+            state.update((int(top["seq"]), *now))
+        state.setTimeoutDuration(stale_ms if now[2] else keep_ms)
+        if now[:2] != tuple(old[1:3]) or now[2] or old[3]:
+            yield pd.DataFrame([(*key, *now, reason)], columns=[*FILE, "message_count", "item_count", "ongoing", "reason"])
+
+    return step
 
 
 def watch_sessions(updates: DataFrame, stale_seconds: int = catalogue.STALE_SECONDS, keep_ms: int = KEEP_MS) -> DataFrame:
     """Stream of session changes from a stream of UPDATES rows, with the end of an ongoing session a minute after its last one."""
-    return updates.groupBy(*FILE).transformWithStateInPandas(SessionWatch(stale_seconds * 1000, keep_ms), EMITTED, "Append", "ProcessingTime")
+    return updates.groupBy(*FILE).applyInPandasWithState(
+        _watch(stale_seconds * 1000, keep_ms), EMITTED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
 
 
 def start_watch(spark: SparkSession, out: str, checkpoint: str, trigger: dict | None = None, **limits) -> StreamingQuery:
-    """Follow the rows of ``start_session_updates`` below ``out`` and append the changes worth telling to ``out/updates``."""
+    """Follow the rows of ``start_session_updates`` below ``out`` and append the changes worth telling to ``out/updates``.
+
+    The timers ask for batches without data; a run with trigger availableNow ends only where
+    spark.sql.streaming.noDataMicroBatches.enabled is false.
+    """
     rows = spark.readStream.schema(UPDATES).option("recursiveFileLookup", "true").parquet(f"{out}/current")
     writer = watch_sessions(rows, **limits).writeStream.outputMode("append").format("parquet").option("path", f"{out}/updates")
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": TRIGGER})).start()
