@@ -63,7 +63,7 @@ def test_session_view(spark):
     assert items[3]["tool_result"] == "found\nit"
     assert items[5]["is_deferred"] and not items[5]["is_orphan"]
     assert items[6]["is_orphan"] and items[6]["subagent_desc"] == "orphan prompt"
-    assert collect(view.ongoing) == [{"session_id": "S", "ongoing": True}]
+    assert collect(view.ongoing) == [{"session_id": "proj/S", "ongoing": True}]
     deep = ongoing.subagent_ongoing_deep(view.processes.selectExpr("session_id", "agent_id", "agent_id = 'x2' as ongoing"), view.edges)
     assert {d["agent_id"]: d["ongoing_deep"] for d in collect(deep)} == {"x1": True, "x2": True, "x3": False}
     linked = messages.attach_subagents(view.items, view.edges, view.processes, deep)

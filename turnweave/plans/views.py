@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalogue, chain, chunks, classify, debug, messages, ongoing, subagents, teams
-from ..operators.entries import parse_entries
+from ..operators.entries import by_file, plain_ids
+from ..sources import sidecars as saved
 from .runtime import stage
 
 
 @dataclass
 class SessionView:
-    """Lazy tables of a session view; main and process rows are told apart by ``agent_id``."""
+    """Lazy tables of a session view; main and process rows are told apart by ``agent_id``.
+
+    ``session_id`` is the key of ``entries.by_file``, project directory and session id, so that further joins keep sessions of one
+    id in two projects apart; ``entries.plain_ids`` takes it apart.
+    """
 
     entries: DataFrame
     msgs: DataFrame
@@ -37,31 +42,46 @@ def live_messages(entries: DataFrame) -> DataFrame:
     return classify.classify(classify.dedup_summaries(chain.live_filter(main)))
 
 
+def _keyed(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """A table with plain session ids by the key of the files that have them, in each project where none is named."""
+    if "project_key" in df.columns:
+        return by_file(df).drop("project_key")
+    return by_file(df.join(ids, "session_id")).drop("project_key")
+
+
 def session_view(
     entries: DataFrame,
     now: Column,
     *,
     sidecars: DataFrame | None = None,
     debug_entries: DataFrame | None = None,
+    outputs: DataFrame | None = None,
     since=None,
     before=None,
 ) -> SessionView:
     """All tables of the view of every session in ``entries``.
 
-    Tables that several steps read are staged, so the plan of each step stays small.
+    Tables that several steps read are staged, so the plan of each step stays small. ``outputs``: saved tool and hook outputs
+    (``sources.sidecars.read_outputs``), which replace the previews that name them.
     """
-    msgs = stage(live_messages(entries))
+    ids = entries.select("project_key", "session_id").distinct()
+    entries = by_file(entries)
+    sidecars = None if sidecars is None else _keyed(sidecars, ids)
+    whole = (lambda df: df) if outputs is None else (lambda df: saved.resolve_persisted(df, outputs))
+    hooked = (lambda df: df) if outputs is None else (lambda df: saved.resolve_hook_output(df, outputs))
+
+    msgs = stage(hooked(live_messages(entries)))
     if debug_entries is not None:
-        msgs = debug.merge_hooks(msgs, debug.debug_hooks(debug_entries))
+        msgs = debug.merge_hooks(msgs, _keyed(debug.debug_hooks(debug_entries), ids))
     main_msgs = stage(chunks.assign_chunks(msgs))
     main_chunks = chunks.merge_chunks(main_msgs)
-    main_items = stage(chunks.build_items(stage(classify.explode_blocks(main_msgs))))
+    main_items = stage(chunks.build_items(stage(whole(classify.explode_blocks(main_msgs)))))
 
     workers = subagents.team_workers(entries, main_items)
     proc_entries = subagents.process_entries(entries, stage(workers))
-    proc_msgs = stage(chunks.assign_chunks(stage(classify.classify(proc_entries, subagents=True))))
+    proc_msgs = stage(chunks.assign_chunks(stage(hooked(classify.classify(proc_entries, subagents=True)))))
     proc_chunks = chunks.merge_chunks(proc_msgs)
-    proc_items = stage(chunks.build_items(stage(classify.explode_blocks(proc_msgs))))
+    proc_items = stage(chunks.build_items(stage(whole(classify.explode_blocks(proc_msgs)))))
     procs = stage(subagents.subagent_profile(proc_entries, proc_msgs, proc_chunks, sidecars, workers))
     linked = stage(subagents.link_subagents(procs, main_items, proc_items, entries, proc_entries))
     main_chunks, main_items, linked = (stage(t) for t in subagents.inject_orphans(main_chunks, main_items, linked))
@@ -96,10 +116,25 @@ def session_view(
     )
 
 
-def session_catalogue(entries: DataFrame, files: DataFrame, now: Column) -> DataFrame:
-    """Catalogue rows of every main file."""
-    return catalogue.build_sessions(entries, files, now)
-
-
-def entries_of(lines: DataFrame) -> DataFrame:
-    return parse_entries(lines)
+def session_catalogue(
+    entries: DataFrame,
+    files: DataFrame,
+    now: Column,
+    *,
+    registry: DataFrame | None = None,
+    live_pids: DataFrame | None = None,
+    verdicts: DataFrame | None = None,
+) -> DataFrame:
+    """Catalogue rows of every main file; two project directories with one session id are two rows.
+
+    ``registry`` (``sources.sidecars.scan_registry``) adds names and, with the ``live_pids`` of the machine, live status;
+    ``verdicts`` (path, ongoing) replace the catalogue's own view of what is ongoing.
+    """
+    out = plain_ids(catalogue.build_sessions(by_file(entries), by_file(files), now))
+    if verdicts is not None:
+        out = catalogue.override_ongoing(out, verdicts)
+    if registry is not None:
+        out = catalogue.join_names(out, registry)
+        if live_pids is not None:
+            out = catalogue.join_liveness(out, registry, live_pids, now)
+    return out

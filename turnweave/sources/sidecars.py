@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx, text
 from .transcripts import local_path
 
-SIDECAR = r"([^/]+)/subagents/agent-([^/]+?)\.(meta|forked-skill)\.json$"
+SIDECAR = r"([^/]+)/([^/]+)/subagents/agent-([^/]+?)\.(meta|forked-skill)\.json$"
 
 
 def _json_files(spark: SparkSession, roots: Sequence[str] | str, glob: str) -> DataFrame:
@@ -22,15 +22,17 @@ def _json_files(spark: SparkSession, roots: Sequence[str] | str, glob: str) -> D
 
 
 def scan_sidecars(spark: SparkSession, roots: Sequence[str] | str) -> DataFrame:
-    """(session_id, agent_id, agent_type, skill_name) of sub-agents with sidecars."""
+    """(project_key, session_id, agent_id, agent_type, skill_name) of sub-agents with sidecars."""
     files = _json_files(spark, roots, "agent-*.json").filter(F.col("path").rlike(SIDECAR))
     v = F.col("v")
-    part = F.regexp_extract("path", SIDECAR, 3)
+    part = F.regexp_extract("path", SIDECAR, 4)
     skill = F.coalesce(
         F.nullif(jsonx.get_str(v, "$.skillName"), F.lit("")), F.nullif(jsonx.get_str(v, "$.attributionName"), F.lit(""))
     )
     return files.groupBy(
-        F.regexp_extract("path", SIDECAR, 1).alias("session_id"), F.regexp_extract("path", SIDECAR, 2).alias("agent_id")
+        F.regexp_extract("path", SIDECAR, 1).alias("project_key"),
+        F.regexp_extract("path", SIDECAR, 2).alias("session_id"),
+        F.regexp_extract("path", SIDECAR, 3).alias("agent_id"),
     ).agg(
         F.max(F.when(part == "meta", jsonx.get_str(v, "$.agentType"))).alias("agent_type"),
         F.max(F.when(part == "forked-skill", skill)).alias("skill_name"),

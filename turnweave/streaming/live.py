@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import tokens
 from ..operators import catalogue, chunks, messages
 from ..operators.classify import USAGE
-from ..operators.entries import parse_entries
+from ..operators.entries import by_file, parse_entries, plain_ids
 from ..plans.runtime import stage
 from ..plans.views import SessionView
 
@@ -146,16 +146,16 @@ def read_token_totals(spark: SparkSession, out: str) -> DataFrame:
 
 
 def session_updates(view: SessionView, totals: DataFrame) -> DataFrame:
-    """One row per session: counts, context, mode, state and totals. Roles are ``messages.roles``."""
+    """One row per session: counts, context, mode, state and totals (by project and session). Roles are ``messages.roles``."""
     c = F.col
     main = view.messages.filter(c("agent_id") == "")
     counts = main.groupBy(SID).agg(F.count(F.lit(1)).alias("message_count"), F.sum("item_count").alias("item_count"))
     context = messages.latest_context_tokens(main).select(SID, "context_tokens")
     mode = chunks.last_permission_mode(view.msgs.filter(c("agent_id") == "")).select(SID, "permission_mode")
-    out = counts.join(context, SID).join(view.ongoing, SID, "left").join(mode, SID, "left").join(totals, SID, "left")
+    out = counts.join(context, SID).join(view.ongoing, SID, "left").join(mode, SID, "left").join(by_file(totals).drop("project_key"), SID, "left")
     # both names stand for the default mode
     named = F.coalesce(F.nullif("permission_mode", F.lit("")), F.lit("manual"))
-    return out.withColumns({"ongoing": F.coalesce("ongoing", F.lit(False)), "permission_mode": named})
+    return plain_ids(out.withColumns({"ongoing": F.coalesce("ongoing", F.lit(False)), "permission_mode": named}))
 
 
 def start_session_updates(lines: DataFrame, build, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
