@@ -32,30 +32,43 @@ def _added_dir() -> Column:
     return (F.col("hook_event") == "DirectoryAdded") | (jsonx.get_str(F.col("data"), "$.hookEvent") == "DirectoryAdded")
 
 
-def session_attributes(entries: DataFrame) -> DataFrame:
-    """Last cwd, branch and mode, fork parent, first model and own duration of each session."""
+def attribute_marks(entries: DataFrame) -> DataFrame:
+    """(session_id, …): the line and value of what ``session_attributes`` shows, last or first seen, and the number of lines."""
     c = F.col
     line = c("line_no")
-    last = lambda name, cond: F.coalesce(F.max_by(name, F.when(cond & (c(name) != ""), line)), F.lit(""))
-    always = F.lit(True)
-    fork = F.min_by("forked_session_id", F.when((c("type") == "fork-context-ref") & (c("forked_session_id") != ""), line))
+    at = lambda value, cond, pick: pick(F.when(cond, F.struct(line.alias("line_no"), value.alias("v"))))
+    last = lambda name, cond: at(c(name), cond & (c(name) != ""), F.max).alias(name)
+    forks = (c("type") == "fork-context-ref") & (c("forked_session_id") != "")
     speaks = _own() & (c("type") == "assistant") & ~c("is_sidechain") & (c("model") != SYNTHETIC) & (c("model") != "")
     timed = c("has_ts") & ~c("is_inherited")
-    out = main_entries(entries).groupBy(SID).agg(
-        last("cwd", ~_added_dir()).alias("cwd"),
-        last("git_branch", always).alias("git_branch"),
-        F.coalesce(F.max_by("permission_mode", F.when(c("permission_mode") != "", line)), F.lit("manual")).alias("permission_mode"),
-        fork.alias("forked_from_session_id"),
-        F.coalesce(F.min_by("model", F.when(speaks, line)), F.lit("")).alias("model"),
-        F.min_by("ts", F.when(timed, line)).alias("__first"),
-        F.max_by("ts", F.when(timed, line)).alias("__last"),
+    return main_entries(entries).groupBy(SID).agg(
+        last("cwd", ~_added_dir()),
+        last("git_branch", F.lit(True)),
+        last("permission_mode", F.lit(True)),
+        at(c("forked_session_id"), forks, F.min).alias("forked_from_session_id"),
+        at(c("model"), speaks, F.min).alias("model"),
+        at(c("ts"), timed, F.min).alias("first_ts"),
+        at(c("ts"), timed, F.max).alias("last_ts"),
         F.count(F.lit(1)).alias("line_count"),
     )
-    return out.withColumn("duration_ms", F.coalesce(millis_between(c("__last"), c("__first")), F.lit(0))).drop("__first", "__last")
 
 
-def session_dirs(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Distinct working and added directories of a session in first-seen order (``dir_no``)."""
+def shown_attributes() -> list[Column]:
+    """The columns of ``session_attributes`` from its marks."""
+    c = F.col
+    text_of = lambda name, other="": F.coalesce(f"{name}.v", F.lit(other)).alias(name)
+    span = F.coalesce(millis_between(c("last_ts.v"), c("first_ts.v")), F.lit(0)).alias("duration_ms")
+    fork = c("forked_from_session_id.v").alias("forked_from_session_id")
+    return [text_of("cwd"), text_of("git_branch"), text_of("permission_mode", "manual"), fork, text_of("model"), c("line_count"), span]
+
+
+def session_attributes(entries: DataFrame) -> DataFrame:
+    """Last cwd, branch and mode, fork parent, first model and own duration of each session."""
+    return attribute_marks(entries).select(SID, *shown_attributes())
+
+
+def seen_dirs(entries: DataFrame) -> DataFrame:
+    """(session_id, dir, first_seen): distinct working and added directories with the place they first stand at."""
     c = F.col
     added = _added_dir()
     named = F.filter(
@@ -67,13 +80,19 @@ def session_dirs(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
         lambda d: d["dir"] != "",
     )
     seen = main_entries(entries).select(SID, "line_no", F.explode(named).alias("d"))
-    first = seen.groupBy(SID, c("d.dir").alias("dir")).agg(F.min(c("line_no") * 4 + c("d.p")).alias("first_seen"))
+    return seen.groupBy(SID, c("d.dir").alias("dir")).agg(F.min(c("line_no") * 4 + c("d.p")).alias("first_seen"))
+
+
+def session_dirs(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Distinct working and added directories of a session in first-seen order (``dir_no``)."""
+    c = F.col
+    first = seen_dirs(entries)
     ranked = ordered_scan(first, [SID], "first_seen", segment=segment * 4, totals={"__n": F.lit(1).cast("bigint")})
     return ranked.select(SID, (c("__n") - 1).alias("dir_no"), "dir")
 
 
-def session_recap(entries: DataFrame) -> DataFrame:
-    """Recap of sessions not resumed by a user turn since; pushed channel events do not count."""
+def recap_marks(entries: DataFrame) -> DataFrame:
+    """(session_id, mark): the last recap or user turn with its line; pushed channel events do not count."""
     c = F.col
     blocks = F.try_variant_get(c("top_content"), "$", "array<struct<text string>>")
     joined = F.array_join(F.array_compact(F.transform(blocks, lambda b: b["text"])), " ")
@@ -86,8 +105,12 @@ def session_recap(entries: DataFrame) -> DataFrame:
     said = F.coalesce(jsonx.content_string(c("content")), with_text, F.lit(""))
     resumes = (c("type") == "user") & ~text.ltrim_ws(said).startswith("<channel")
     marks = main_entries(entries).filter(is_recap | resumes)
-    latest = F.max_by(F.struct(F.when(is_recap, recap).alias("recap")), "line_no")
-    return marks.groupBy(SID).agg(latest.alias("m")).select(SID, c("m.recap").alias("recap")).filter("recap is not null")
+    return marks.groupBy(SID).agg(F.max(F.struct("line_no", F.when(is_recap, recap).alias("recap"))).alias("mark"))
+
+
+def session_recap(entries: DataFrame) -> DataFrame:
+    """Recap of sessions not resumed by a user turn since."""
+    return recap_marks(entries).select(SID, F.col("mark.recap").alias("recap")).filter("recap is not null")
 
 
 def is_user_turn() -> Column:
@@ -108,8 +131,11 @@ def is_user_turn() -> Column:
     )
 
 
-def turn_counts(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """User turns plus the first main assistant message after each.
+def turn_parts(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(session_id, turn_count, head, tail): user turns plus the first main assistant message after each.
+
+    ``head`` and ``tail`` tell whether the first and the last message of the lines given is a user's (1) or an answer (0), which
+    is what the count of later lines needs to know.
 
     Turns are counted inside segments first; only one row per segment is then looked at in order.
     """
@@ -133,11 +159,18 @@ def turn_counts(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
     before = F.lag("tail").over(Window.partitionBy(SID).orderBy("__seg"))
     joined = counted.withColumn("__before", before)
     bridge = ((c("head") == 0) & (c("__before") == 1)).cast("bigint")
-    return joined.groupBy(SID).agg(F.sum(c("n") + F.coalesce(bridge, F.lit(0))).alias("turn_count"))
+    return joined.groupBy(SID).agg(
+        F.sum(c("n") + F.coalesce(bridge, F.lit(0))).alias("turn_count"), F.min_by("head", "__seg").alias("head"), F.max_by("tail", "__seg").alias("tail")
+    )
 
 
-def first_messages(entries: DataFrame, max_lines: int | None = None) -> DataFrame:
-    """First readable user text of a session, else the first slash command.
+def turn_counts(entries: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """User turns plus the first main assistant message after each."""
+    return turn_parts(entries, segment).select(SID, "turn_count")
+
+
+def first_message_parts(entries: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """(session_id, said, command): first readable user text and first slash command, each with its line.
 
     ``max_lines``: look at the first so many lines only, as a reader of file heads does.
     """
@@ -156,14 +189,21 @@ def first_messages(entries: DataFrame, max_lines: int | None = None) -> DataFram
     command = F.when(is_cmd, F.coalesce(text.command_name(raw), F.lit("/command")))
     picked = seen.select(SID, "line_no", shown.alias("shown"), command.alias("command"))
     return picked.groupBy(SID).agg(
-        F.min_by("shown", F.when(c("shown").isNotNull(), c("line_no"))).alias("s"),
-        F.min_by("command", F.when(c("command").isNotNull(), c("line_no"))).alias("k"),
-    ).select(
-        SID,
-        F.replace(F.coalesce(F.substring("s", 1, PREVIEW_CHARS), c("k"), F.lit("")), F.lit("\n"), F.lit(" ")).alias("first_message"),
+        F.min(F.when(c("shown").isNotNull(), F.struct("line_no", F.substring("shown", 1, PREVIEW_CHARS).alias("text")))).alias("said"),
+        F.min(F.when(c("command").isNotNull(), F.struct("line_no", c("command").alias("text")))).alias("command"),
     )
 
 
+def first_message_text() -> Column:
+    """The message of ``first_message_parts`` that stands for a session."""
+    return F.replace(F.coalesce("said.text", "command.text", F.lit("")), F.lit("\n"), F.lit(" "))
+
+
+def first_messages(entries: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """First readable user text of a session, else the first slash command; ``max_lines`` as above."""
+    return first_message_parts(entries, max_lines).select(SID, first_message_text().alias("first_message"))
+
+
 # --- tokens and cost -------------------------------------------------------------------------------
 
 
@@ -250,8 +290,18 @@ def model_usage(entries: DataFrame, mode: str = "catalogue") -> DataFrame:
 # --- activity --------------------------------------------------------------------------------------
 
 
-def activity_events(entries: DataFrame) -> DataFrame:
-    """(session_id, ord, is_ending): what main assistant and user entries did, in order.
+def shutdown_approvals(entries: DataFrame) -> DataFrame:
+    """(session_id, tool_id, approved): calls that approve a shutdown, with their order."""
+    c = F.col
+    own = main_entries(entries).filter(_own() & (c("type") == "assistant") & ~c("is_sidechain"))
+    blocks = own.select(SID, "line_no", F.posexplode("blocks").alias("n", "b")).withColumn("ord", c("line_no") * BLOCK_STRIDE + c("n"))
+    call = (F.coalesce(c("b.type"), F.lit("")) == "tool_use") & (F.coalesce(c("b.id"), F.lit("")) != "")
+    approves = tools.is_shutdown_approval(F.coalesce(c("b.name"), F.lit("")), c("b.input"))
+    return blocks.filter(call & approves).groupBy(SID, c("b.id").alias("tool_id")).agg(F.min("ord").alias("approved"))
+
+
+def activity_events(entries: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(session_id, ord, is_ending): what main assistant and user entries did, in order; ``known``: approvals in lines before.
 
     Texts, plan exits, shutdown approvals and their results, rejections and interruptions end an
     activity; thinking, calls and results are activity.
@@ -279,7 +329,10 @@ def activity_events(entries: DataFrame) -> DataFrame:
         (bt == "thinking") & ~blank("thinking"), False
     )
     spoken = said.select(SID, "ord", ending.alias("is_ending")).filter("is_ending is not null")
-    approvals = said.filter(call & approves).groupBy(SID, c("b.id").alias("tool_id")).agg(F.min("ord").alias("__approved"))
+    approvals = said.filter(call & approves).select(SID, c("b.id").alias("tool_id"), "ord")
+    if known is not None:
+        approvals = approvals.unionByName(known.select(SID, "tool_id", c("approved").alias("ord")))
+    approvals = approvals.groupBy(SID, "tool_id").agg(F.min("ord").alias("__approved"))
     heard = blocks.filter(c("type") == "user")
     results = heard.filter((bt == "tool_result") & (F.coalesce(c("b.tool_use_id"), F.lit("")) != "")).select(
         SID, "ord", c("b.tool_use_id").alias("tool_id"), "rejected"
@@ -301,11 +354,20 @@ def scan_ongoing(entries: DataFrame) -> DataFrame:
 
     A call that still waits for its result is activity itself, so open calls need no extra rule.
     """
-    c = F.col
-    last = activity_events(entries).groupBy(SID).agg(
-        F.max(F.when(c("is_ending"), c("ord"))).alias("e"), F.max(F.when(~c("is_ending"), c("ord"))).alias("a")
+    return activity_marks(entries).select(SID, active_since().alias("is_ongoing"))
+
+
+def activity_marks(entries: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(session_id, ended, acted): the order of the last ending and of the last activity."""
+    ending, order = F.col("is_ending"), F.col("ord")
+    return activity_events(entries, known).groupBy(SID).agg(
+        F.max(F.when(ending, order)).alias("ended"), F.max(F.when(~ending, order)).alias("acted")
     )
-    return last.select(SID, (c("a").isNotNull() & (c("e").isNull() | (c("a") > c("e")))).alias("is_ongoing"))
+
+
+def active_since() -> Column:
+    """Whether there was activity after the last ending."""
+    return F.expr("acted IS NOT NULL AND (ended IS NULL OR acted > ended)")
 
 
 def is_fresh(mtime: Column, now: Column) -> Column:
@@ -315,6 +377,18 @@ def is_fresh(mtime: Column, now: Column) -> Column:
 
 def build_sessions(entries: DataFrame, files: DataFrame, now: Column, mode: str = "catalogue") -> DataFrame:
     """The catalogue: one row per main file of ``files`` (path, mtime, file_role, session_id, agent_id)."""
+    origin = session_dirs(entries).groupBy(SID).agg(
+        F.min_by("dir", "dir_no").alias("origin_dir"), F.count(F.lit(1)).alias("dir_count")
+    )
+    parts = [
+        session_attributes(entries), turn_counts(entries), first_messages(entries), session_recap(entries),
+        token_totals(entries, mode), origin, scan_ongoing(entries),
+    ]
+    return assemble(files, parts, now)
+
+
+def assemble(files: DataFrame, parts: Sequence[DataFrame], now: Column) -> DataFrame:
+    """Catalogue rows of the main files from tables by session_id that hold the columns between them."""
     c = F.col
     main = files.filter(c("file_role") == "main").select("path", "project_key", SID, "mtime")
     active = (
@@ -323,14 +397,8 @@ def build_sessions(entries: DataFrame, files: DataFrame, now: Column, mode: str
         .distinct()
         .withColumn("__agents", F.lit(True))
     )
-    origin = session_dirs(entries).groupBy(SID).agg(
-        F.min_by("dir", "dir_no").alias("origin_dir"), F.count(F.lit(1)).alias("dir_count")
-    )
     out = main
-    for part in (
-        session_attributes(entries), turn_counts(entries), first_messages(entries), session_recap(entries),
-        token_totals(entries, mode), origin, scan_ongoing(entries),
-    ):
+    for part in parts:
         out = out.join(part, SID, "left")
     out = out.join(active, [SID, "project_key"], "left")
     zero = lambda n: F.coalesce(c(n), F.lit(0)).alias(n)
