@@ -32,6 +32,19 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
     assert [d["project_key"] for d in dirs] == ["p1"]
 
 
+def test_lines_are_not_sorted_to_be_numbered(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "projects")
+    write_lines(f"{root}/p/s.jsonl", [{"n": i} for i in range(50)])
+    for limit in (transcripts.BROADCAST_SPLITS, 0):
+        monkeypatch.setattr(transcripts, "BROADCAST_SPLITS", limit)
+        lines = transcripts.scan_transcripts(spark, root)
+        assert all(json.loads(r["value"])["n"] == r["line_no"] for r in lines.collect())
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        for step in plan.split("\n"):
+            assert not (("Sort [" in step or "Window [" in step) and "value#" in step), step
+        assert ("ShuffledHashJoin" if limit == 0 else "BroadcastHashJoin") in plan
+
+
 def test_sidecars_registry_outputs(spark, tmp_path):
     root = str(tmp_path)
     base = f"{root}/p/s/subagents"

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import stage
+
 MAIN_PATTERN = r"([^/]+)/([^/]+)\.jsonl$"
+BROADCAST_SPLITS = 100_000  # about 20 MB
 AGENT_PATTERN = r"([^/]+)/([^/]+)/subagents/agent-([^/]+)\.jsonl$"
 
 
@@ -46,21 +49,18 @@ def with_file_identity(df: DataFrame) -> DataFrame:
 def number_lines(df: DataFrame) -> DataFrame:
     """Dense 0-based line numbers per file.
 
-    Rows are numbered inside each file split, a group bounded by the split size, and shifted by the
-    number of lines in the splits before it. A file of any size needs no single task.
+    Rows of a split have ids in a row, so a number is the row's id, less the first id of its split, plus the lines of the splits
+    before it. Only one row a split is looked at in order; the lines themselves are neither sorted nor put in a window, and move
+    only where there are more splits than a broadcast should hold.
     """
-    split = Window.partitionBy("path", "block_start")
-    numbered = df.withColumn("__mid", F.monotonically_increasing_id()).withColumn(
-        "__in_split", F.row_number().over(split.orderBy("__mid")) - 1
-    )
-    counts = df.groupBy("path", "block_start").agg(F.count(F.lit(1)).alias("__n"))
+    placed = df.withColumn("__id", F.monotonically_increasing_id())
+    splits = stage(placed.groupBy("path", "block_start").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n")))
     earlier = Window.partitionBy("path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "path", "block_start", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
-    )
-    out = numbered.join(offsets, ["path", "block_start"])
-    line_no = (F.col("__offset") + F.col("__in_split")).cast("bigint").alias("line_no")
-    return out.select(*[c for c in df.columns if c != "block_start"], line_no)
+    shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")
+    shifts = splits.select("path", "block_start", shift.alias("__shift"))
+    shifts = F.broadcast(shifts) if splits.count() <= BROADCAST_SPLITS else shifts.hint("shuffle_hash")
+    line_no = (F.col("__id") + F.col("__shift")).cast("bigint").alias("line_no")
+    return placed.join(shifts, ["path", "block_start"]).select(*[c for c in df.columns if c != "block_start"], line_no)
 
 
 def scan_transcripts(spark: SparkSession, roots: Sequence[str] | str) -> DataFrame:
