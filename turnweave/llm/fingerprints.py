@@ -13,41 +13,54 @@ from pyspark.sql import functions as F
 from turnweave.llm.common import WORD
 
 SAMPLES = 64
-NEIGHBOURS = 12  # binary digits of an id's run when the next lower id is sought
+GROUP = 8  # samples computed together, so that the generated code stays small
+LOW, FINE, ID_BITS = 512, 26, 27  # a sample's value a > -512 in steps of 2^-26, then 27 bits of its term
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, half): the next lower id, the greatest after the least; half of the text's code points."""
+    """(doc_id, next_id, half): the next lower id, the greatest after the least; half of the text's code points.
+
+    Ids are sorted by ranges; only the ends of the ranges, one row each, are looked at together.
+    """
+    from turnweave.llm.common import stage
+
     ids = docs.groupBy("doc_id").agg(F.min_by(F.length("t"), "t").alias("n")).filter("doc_id is not null")
-    ids = ids.withColumn("run", F.shiftright("doc_id", NEIGHBOURS))
-    w = Window.partitionBy("run").orderBy("doc_id")
-    runs = ids.groupBy("run").agg(F.max("doc_id").alias("top"))
-    g = Window.orderBy("run")
-    last = runs.agg(F.max("top").alias("last"))
-    runs = runs.withColumn("below", F.lag("top").over(g)).join(F.broadcast(last))
-    x = ids.withColumn("low", F.lag("doc_id").over(w)).join(runs, "run")
+    ids = stage(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ids")
+    w = Window.partitionBy("part").orderBy("doc_id")
+    ends = ids.groupBy("part").agg(F.max("doc_id").alias("top"))
+    last = ends.agg(F.max("top").alias("last"))
+    ends = ends.withColumn("below", F.lag("top").over(Window.orderBy("part"))).join(F.broadcast(last))
+    x = ids.withColumn("low", F.lag("doc_id").over(w)).join(F.broadcast(ends), "part")
     return x.selectExpr("doc_id", "coalesce(low, below, last) next_id", "n div 2 half")
 
 
 def signatures(texts: DataFrame, key: list[str], samples: int = SAMPLES) -> DataFrame:
-    """key and fingerprint of each row's text ``t``; rows of a key must lie together already."""
+    """key and fingerprint of each row's text ``t``; rows of a key must lie together already.
+
+    A sample is one whole number, its value in the upper bits and the term in the lower ones, so that the least of a text is a
+    plain minimum; equal samples come from equal terms and counts.
+    """
     words = texts.select(*key, F.explode_outer(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0))).alias("w"))
-    terms = words.groupBy(*key, "w").agg(F.ln(F.count("w")).alias("lw")).withColumn("h", F.xxhash64("w"))
+    terms = words.groupBy(*key, "w").agg(F.ln(F.count("w")).alias("lw"))
+    hashed = terms.select(*key, F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("h"), "lw")
+    rows = hashed.select(*key, "h", "lw", F.explode(F.array(*[F.lit(g) for g in range(-(-samples // GROUP))])).alias("g"))
     unit = lambda x, shift, bits: (F.shiftrightunsigned(x, shift).bitwiseAND((1 << bits) - 1) + F.lit(0.5)) / float(1 << bits)
-    cols = []
-    for j in range(samples):
-        x, y = F.xxhash64("h", F.lit(2 * j)), F.xxhash64("h", F.lit(2 * j + 1))
+    least = []
+    for j in range(GROUP):
+        x, y = F.xxhash64("h", "g", F.lit(2 * j)), F.xxhash64("h", "g", F.lit(2 * j + 1))
         r = -F.ln(unit(x, 0, 32) * unit(x, 32, 32))
         c = -F.ln(unit(y, 0, 21) * unit(y, 21, 21))
-        cols.append(F.struct(r.alias("r"), F.ln(c).alias("c"), unit(y, 42, 22).alias("b")).alias(f"g{j}"))
-    drawn = terms.select(*key, "w", "h", "lw", *cols)
-    out = []
-    for j in range(samples):
-        t = F.floor(F.col("lw") / F.col(f"g{j}.r") + F.col(f"g{j}.b"))
-        a = F.col(f"g{j}.c") - F.col(f"g{j}.r") * (t - F.col(f"g{j}.b") + 1)
-        out.append(F.min_by(F.xxhash64("h", t), F.when(F.col("w").isNotNull(), a)).alias(f"m{j}"))
-    got = drawn.groupBy(*key).agg(*out)
-    return got.select(*key, F.concat_ws("", *[F.lpad(F.lower(F.hex(F.coalesce(f"m{j}", F.lit(0)))), 16, "0") for j in range(samples)]).alias("fingerprint"))
+        b = unit(y, 42, 22)
+        t = F.floor(F.col("lw") / r + b)
+        a = F.ln(c) - r * (t - b + 1)
+        value = F.floor((F.greatest(a, F.lit(-float(LOW))) + LOW) * float(1 << FINE))
+        own = F.shiftleft(value, ID_BITS).bitwiseOR(F.xxhash64("h", t).bitwiseAND((1 << ID_BITS) - 1))
+        least.append(F.min(F.when(F.col("h").isNotNull(), own)).alias(f"m{j}"))
+    parts = rows.groupBy(*key, "g").agg(*least)
+    digits = F.concat_ws("", *[F.lpad(F.lower(F.hex(F.coalesce(f"m{j}", F.lit(0)))), 16, "0") for j in range(GROUP)])
+    joined = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("g", digits.alias("d")))).alias("all"))
+    whole = F.array_join(F.transform("all", lambda x: x["d"]), "")
+    return joined.select(*key, F.substring(whole, 1, 16 * samples).alias("fingerprint"))
 
 
 def likeness(a, b, samples: int = SAMPLES):
