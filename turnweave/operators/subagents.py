@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, text
-from ..plans.ordered import ordered_scan
+from ..plans.ordered import ordered_scan, range_rank
 from ..plans.runtime import stage
 from .chunks import CHUNK, millis_between
 from .classify import BLOCK_STRIDE, SYNTHETIC, USAGE
@@ -19,15 +19,9 @@ ORPHAN_OFFSET = BLOCK_STRIDE // 2
 
 
 def rank_processes(procs: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """1-based position in process order: sub-agents by start, then team processes by start.
-
-    Positions are counted by start hour first, so a session with very many processes is no single
-    task.
-    """
-    order = ["is_team", "start_key", "agent_id"]
+    """1-based position in process order: sub-agents by start, then team processes by start."""
     keyed = procs.withColumn("start_key", F.coalesce(F.unix_micros("start_time"), F.lit(0)))
-    hour = F.expr("cast(is_team as bigint) * 1000000000 + start_key div 3600000000")
-    return ordered_scan(keyed, keys, order, segment_by=hour, totals={name: F.lit(1).cast("bigint")}).drop("start_key")
+    return range_rank(keyed, keys, ["is_team", "start_key", "agent_id"], name).drop("start_key")
 
 
 def warmup_agents(entries: DataFrame) -> DataFrame:

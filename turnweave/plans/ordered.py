@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import stage
+
 SEGMENT = 1 << 16
 TEXT_PART_BYTES = 16 << 20
 
@@ -110,6 +112,21 @@ def text_parts(
     )
 
 
+def range_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add the 1-based position of each row in its key; ``order`` must be unique within a key, nulls come first.
+
+    Rows are dealt out by sampled ranges of key and order, so a key of any size spreads over tasks, however its order values are
+    bunched. Positions count inside a range; only one row a key and range is looked at in order. The rows are written once.
+    """
+    laid = stage(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    behind = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = laid.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(*keys, "__part", F.sum("__n").over(behind).alias("__before")).filter("__before > 0")
+    placed = laid.withColumn("__in", inside).join(before, [*keys, "__part"], "left")
+    return placed.select(*df.columns, (F.col("__in") + F.coalesce("__before", F.lit(0))).cast("bigint").alias(name))
+
+
 def first_k(df: DataFrame, keys: Sequence[str], order: str, k: int) -> DataFrame:
     """The first k rows of each key; Spark keeps at most k per key before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))

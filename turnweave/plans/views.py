@@ -55,6 +55,7 @@ def session_view(
     *,
     sidecars: DataFrame | None = None,
     debug_entries: DataFrame | None = None,
+    debug_more: DataFrame | None = None,
     outputs: DataFrame | None = None,
     since=None,
     before=None,
@@ -72,7 +73,7 @@ def session_view(
 
     msgs = stage(hooked(live_messages(entries)))
     if debug_entries is not None:
-        msgs = debug.merge_hooks(msgs, _keyed(debug.debug_hooks(debug_entries), ids))
+        msgs = debug.merge_hooks(msgs, _keyed(debug.debug_hooks(debug_entries, debug_more), ids))
     main_msgs = stage(chunks.assign_chunks(msgs))
     main_chunks = chunks.merge_chunks(main_msgs)
     main_items = stage(chunks.build_items(stage(whole(classify.explode_blocks(main_msgs)))))
