@@ -71,6 +71,18 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """(table, way back): columns called like one of ``names``, in any case, step aside; ``withColumnsRenamed`` takes the way back."""
+    taken, back = {n.lower() for n in names}, {}
+    for i, c in enumerate(df.columns):
+        if c.lower() in taken:
+            new = f"kept{i}"
+            while new.lower() in taken | {x.lower() for x in df.columns}:
+                new += "_"
+            back[new] = c
+    return df.withColumnsRenamed({c: new for new, c in back.items()}), back
+
+
 def release(spark) -> None:
     """Let Spark remove the shuffle files of finished steps now: it does so when the driver collects its garbage."""
     gc.collect()

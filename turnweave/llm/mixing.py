@@ -13,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import WORD
+from turnweave.llm.common import WORD, aside
 
+OWN = ["size", "source_size", "target", "taken", "position", "again"]
+INNER = ["_h", "_run", "_sum", "_before", "_s", "_r", "_in", "_from", "_goal", "_pass", "weight", "slope", "i", "cap"]
 SLOPES = (0.5, 0.0, -0.5)  # by source, repeating
 
 
@@ -45,10 +47,11 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
 
     Null text has size 0 and is taken for 0 words; null sources form one source, the last. Repeated ids
     and rows stand by id, then text. Position is null where nothing is taken. Running sums are taken in
-    4,096 runs a source by leading hash digits, then over the runs, so that a large source is spread out.
+    4,096 runs a source by leading hash digits, then over the runs, so that a large source is spread out. Columns called like one
+    of the new ones are replaced by these; all other columns stay, whatever their names.
     """
-    own = ["size", "source_size", "target", "taken", "position", "again"]
-    base = sizes(docs.drop(*own)).withColumn("_h", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
+    docs, back = aside(docs.drop(*OWN), INNER)
+    base = sizes(docs).withColumn("_h", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
     base = base.withColumn("_run", F.substring("_h", 1, 3))
     runs = base.groupBy("source", "_run").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +74,7 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
 
     x = x.withColumn("position", F.when(F.col("taken") > 0, when(F.col("_from"))))
     x = x.withColumn("again", F.when(F.col("taken") > F.col("size"), when(F.col("_from") + F.col("source_size"))))
-    return x.drop("_h", "_run", "_before", "_in", "_from", "_goal", "_pass", "weight", "slope")
+    return x.drop("_h", "_run", "_before", "_in", "_from", "_goal", "_pass", "weight", "slope").withColumnsRenamed(back)
 
 
 def by_position(mixed: DataFrame) -> DataFrame:
@@ -87,12 +90,15 @@ l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM w) - coalesce(sum(c
     / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0)) AS level FROM w
     WINDOW b AS (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT max(level) AS level FROM l WHERE level * weight <= cap),
-t AS (SELECT source, source_size, round(coalesce(least(cap, v.level * weight), cap), 6) AS target FROM l, v),
+t AS (SELECT source, source_size, (CASE i % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 ELSE -0.5 END)::DOUBLE AS slope, round(coalesce(least(cap, v.level * weight), cap), 6) AS target FROM l, v),
 c AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id, text
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
-p AS (SELECT c.doc_id, c.size, t.source_size, t.target, c.before, floor(t.target)::BIGINT AS goal,
+p AS (SELECT c.doc_id, c.size, t.source_size, t.target, t.slope, c.before, floor(t.target)::BIGINT AS goal,
     CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END AS passes
-    FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-    (passes * size + least(size, greatest(goal - passes * source_size - before, 0)))::BIGINT AS taken FROM p
+    FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, (passes * size + least(size, greatest(goal - passes * source_size - before, 0)))::BIGINT AS taken FROM p),
+f AS (SELECT *, CASE WHEN taken > 0 THEN before / target END AS once, CASE WHEN taken > size THEN (before + source_size) / target END AS twice FROM k)
+SELECT doc_id, size::BIGINT AS size, source_size, target, taken,
+    CASE WHEN slope = 0 THEN once ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * once) - (1 - slope)) / (2 * slope) END AS position,
+    CASE WHEN slope = 0 THEN twice ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * twice) - (1 - slope)) / (2 * slope) END AS again FROM f
 """

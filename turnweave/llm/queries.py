@@ -23,7 +23,7 @@ QUERIES = {
     "op4_jaccard_join": lambda s, d: jaccard_join.jaccard_components(table(s, d, "documents")),
     "op5_secrets": lambda s, d: secret_scan.secret_report(table(s, d, "documents")),
     "op6_toxicity": lambda s, d: toxicity.score_toxicity(table(s, d, "documents"), table(s, d, "labels")),
-    "op7_mixing": lambda s, d: mixing.by_position(mixing.mix_sources(table(s, d, "documents"))).select("doc_id", "size", "source_size", "target", "taken"),
+    "op7_mixing": lambda s, d: mixing.by_position(mixing.mix_sources(table(s, d, "documents"))).select("doc_id", *mixing.OWN),
     "op8_quality": lambda s, d: quality.score_quality(table(s, d, "documents")),
     "op9_token_counts": lambda s, d: token_counts.token_counts(table(s, d, "documents")),
     "op10_fingerprints": lambda s, d: fingerprints.fingerprint_report(table(s, d, "documents")),
