@@ -418,6 +418,21 @@ SQL = {
     "j05_parent_by_prefix": _w(ROOTS, "SELECT n.key, arg_max(o.key, length(o.key)) AS parent_key FROM nodes n JOIN nodes o ON starts_with(n.key, o.key || '-') GROUP BY n.key", True),
     "j06_project_tree": _w(TREE, """SELECT key, CASE WHEN seg <> '' THEN '__virtual:' || parent || ':' || seg ELSE parent END AS parent_key, name, session_count, has_ongoing, false AS is_virtual FROM mid
       UNION ALL SELECT '__virtual:' || parent || ':' || seg, parent, seg, CAST(sum(session_count) AS BIGINT), bool_or(has_ongoing), true FROM mid WHERE seg <> '' GROUP BY parent, seg""", True),
+    "j08_flat_items": _w(TREE, """, tr AS (
+        SELECT key, CASE WHEN seg <> '' THEN '__virtual:' || parent || ':' || seg ELSE parent END AS parent_key, name, CAST(session_count AS BIGINT) AS session_count, has_ongoing FROM mid
+        UNION ALL SELECT '__virtual:' || parent || ':' || seg, parent, seg, CAST(sum(session_count) AS BIGINT), bool_or(has_ongoing) FROM mid WHERE seg <> '' GROUP BY parent, seg),
+      named AS (SELECT *, string_split(key, '--')[-1] AS last, contains(key, '--') AS parted FROM tr),
+      kinds AS (SELECT *, CASE WHEN parted THEN CASE WHEN starts_with(last, 'claude-worktrees') THEN 'claude-worktrees' WHEN starts_with(last, 'worktrees') THEN 'worktrees' END
+          WHEN starts_with(substring(key, length(parent_key) + 1), '-worktrees-') THEN 'worktrees' END AS kind, regexp_extract(key, '([^-/]+)[-/]*$', 1) AS tail FROM named),
+      shown AS (SELECT *, CASE WHEN parted AND starts_with(last, kind || '-') THEN substring(last, length(kind) + 2) ELSE tail END AS leaf FROM kinds),
+      deep AS (SELECT key, parent_key, name AS label, name, session_count, has_ongoing, 0 AS depth, CAST(NULL AS VARCHAR) AS grp FROM shown WHERE parent_key IS NULL
+        UNION ALL SELECT c.key, c.parent_key, CASE WHEN deep.grp IS NULL AND c.kind IS NOT NULL THEN c.leaf ELSE c.name END, c.name, c.session_count, c.has_ongoing,
+          deep.depth + CASE WHEN deep.grp IS NULL AND c.kind IS NOT NULL THEN 2 ELSE 1 END, CASE WHEN deep.grp IS NULL THEN c.kind END
+        FROM deep JOIN shown c ON c.parent_key = deep.key)
+      SELECT CAST(NULL AS VARCHAR) AS key, 'All Projects' AS name, count(*) AS count, false AS ongoing, 0 AS depth, false AS is_group, false AS has_children, true AS is_expanded FROM s
+      UNION ALL SELECT key, label, session_count, has_ongoing, depth, false, key IN (SELECT parent_key FROM tr WHERE parent_key IS NOT NULL), true FROM deep
+      UNION ALL SELECT '__group:' || grp || ':' || parent_key, grp, CAST(sum(session_count) AS BIGINT), bool_or(has_ongoing), min(depth) - 1, true, true, true
+        FROM deep WHERE grp IS NOT NULL GROUP BY grp, parent_key""", True),
     "x01_tool_usage": _w(ITEMS, """SELECT tool_category, tool, CASE WHEN tool = 'mcp__db__run_query' THEN 'db' ELSE '' END AS server, count(*) AS calls,
       count(*) FILTER (WHERE tool_error) AS errors, count(*) FILTER (WHERE is_orphan OR is_deferred) AS unresolved, CAST(sum(duration_ms) AS BIGINT) AS duration_ms
       FROM it WHERE item_type <> 'Output' GROUP BY 1, 2, 3"""),
