@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx, text, tools
 from ..plans.ordered import SEGMENT, first_k, ordered_scan, text_parts
+from ..plans.runtime import stage
 from .classify import BLOCK_STRIDE, USAGE, explode_blocks
 from .entries import IDENTITY
 
@@ -45,43 +46,59 @@ def _team_task(v: Column) -> Column:
     return jsonx.is_object(v) & jsonx.has_key(v, "$.name")
 
 
-def pair_results(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def _events(blocks: DataFrame) -> tuple[Column, Column]:
+    bt = F.col("block_type")
+    return (bt == "tool_use") & ~F.col("is_meta"), (bt == "tool_result") & F.col("rule").isin("assistant", "meta")
+
+
+def tool_pairs(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(chunk, ord, ts, event, is_agent, before, after): calls (event 1) and results (0) with their neighbours of the same tool id.
+
+    ``before`` is the event before in the chunk, ``after`` the event, place and time of the one behind. No body takes part.
+    """
+    is_call, is_result = _events(blocks)
+    agent = F.col("tool_name").isin("Task", "Agent") if "tool_name" in blocks.columns else F.lit(False)
+    rows = blocks.select(
+        *CHUNK, "ord", "ts", F.when(is_call, 1).when(is_result, 0).alias("event"), (is_call & agent).alias("is_agent"), F.col("tool_id").alias("__id")
+    ).filter("event IS NOT NULL")
+    return ordered_scan(
+        rows, [*CHUNK, "__id"], "ord", segment=segment * BLOCK_STRIDE,
+        before={"before": F.col("event")}, after={"after": F.struct("event", "ord", "ts")},
+    ).drop("__id")
+
+
+def pair_results(blocks: DataFrame, segment: int = SEGMENT, pairs: DataFrame | None = None) -> DataFrame:
     """Add ``answer`` to calls (the result that resolves them) and ``is_matched`` to results.
 
-    Inside a chunk a result resolves the event just before it with the same tool id if that is a call.
+    Inside a chunk a result resolves the event just before it with the same tool id if that is a call. Events are paired by place
+    alone; what a result says is fetched by one join.
     """
-    bt = F.col("block_type")
-    is_call = (bt == "tool_use") & ~F.col("is_meta")
-    is_result = (bt == "tool_result") & (F.col("rule").isin("assistant", "meta"))
-    event = F.when(is_call, 1).when(is_result, 0)
-    reply = F.struct(
-        event.alias("event"),
-        F.when(is_result, F.col("result_text")).alias("text"),
-        F.when(is_result, F.col("result_json")).alias("json"),
-        F.when(is_result, F.col("result_error")).alias("error"),
-        F.when(is_result, F.col("block_advisor_model")).alias("advisor"),
-        F.when(is_result, F.col("ts")).alias("ts"),
-    )
-    keyed = blocks.withColumn("__id", F.when(event.isNotNull(), F.concat(F.lit("t"), F.col("tool_id"))).otherwise("-"))
-    paired = ordered_scan(
-        keyed, [*CHUNK, "__id"], "ord", segment=segment * BLOCK_STRIDE,
-        before={"__prev": event}, after={"__next": F.when(event.isNotNull(), reply)},
+    c = F.col
+    pairs = tool_pairs(blocks, segment) if pairs is None else pairs
+    is_call, is_result = _events(blocks)
+    met = pairs.select(*CHUNK, "ord", "before", c("after.event").alias("__next"))
+    found = pairs.filter("event = 1 AND after.event = 0").select(*CHUNK, c("after.ord").alias("ord"), c("ord").alias("__call"))
+    said = F.struct(
+        F.lit(0).alias("event"), c("result_text").alias("text"), c("result_json").alias("json"), c("result_error").alias("error"),
+        c("block_advisor_model").alias("advisor"), c("ts").alias("ts"),
     )
-    nxt = F.col("__next")
+    replies = blocks.filter(is_result).join(found, [*CHUNK, "ord"]).select(*CHUNK, c("__call").alias("ord"), said.alias("answer"))
+    paired = blocks.join(met, [*CHUNK, "ord"], "left").join(replies, [*CHUNK, "ord"], "left")
     return paired.select(
-        *[c for c in blocks.columns],
+        *[c(n) for n in blocks.columns],
         is_call.alias("is_call"),
         is_result.alias("is_result"),
-        F.when(is_call & (nxt["event"] == 0), nxt).alias("answer"),
-        (is_result & (F.coalesce(F.col("__prev"), F.lit(0)) == 1)).alias("is_matched"),
-        (is_call & nxt.isNull()).alias("is_pending"),
+        "answer",
+        (is_result & (F.coalesce("before", F.lit(0)) == 1)).alias("is_matched"),
+        (is_call & c("__next").isNull()).alias("is_pending"),
     )
 
 
 def build_items(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Display items of the blocks of chunked messages (blocks carry ``chunk_no``)."""
     c = F.col
-    p = pair_results(blocks, segment).withColumn("__args", F.when(c("is_call"), tools.tool_args(c("tool_input"))))
+    pairs = stage(tool_pairs(blocks, segment))
+    p = pair_results(blocks, segment, pairs).withColumn("__args", F.when(c("is_call"), tools.tool_args(c("tool_input"))))
     bt = c("block_type")
     agent_call = c("is_call") & c("tool_name").isin("Task", "Agent")
     item_type = (
@@ -139,21 +156,15 @@ def build_items(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
         F.coalesce(pending_orphan, F.lit(False)).alias("is_orphan"),
         (c("is_pending") & ~F.coalesce(pending_orphan, F.lit(False))).alias("is_deferred"),
     )
-    return suppress_inflated(items, agent_times(blocks, segment))
+    return suppress_inflated(items, agent_times(pairs))
 
 
-def agent_times(blocks: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Chunks in which a sub-agent call took time; pairs calls again, without any bodies."""
+def agent_times(pairs: DataFrame) -> DataFrame:
+    """Chunks in which a sub-agent call took time, from the pairs of ``tool_pairs``."""
     c = F.col
-    narrow = blocks.select(
-        *CHUNK, "ord", "ts", "rule", "block_type", "is_meta", "tool_id", "tool_name",
-        F.lit("").alias("result_text"), F.lit(None).cast("string").alias("result_json"),
-        F.lit(False).alias("result_error"), F.lit("").alias("block_advisor_model"),
-    ).filter(c("block_type").isin("tool_use", "tool_result"))
-    p = pair_results(narrow, segment).filter(c("is_call") & c("tool_name").isin("Task", "Agent"))
     # a call without an answer counts as zero
-    ms = F.coalesce(millis_between(c("answer")["ts"], c("ts")), F.lit(0))
-    took = p.groupBy(*CHUNK).agg(F.max(ms).alias("__longest"))
+    ms = F.when(c("after.event") == 0, F.coalesce(millis_between(c("after.ts"), c("ts")), F.lit(0))).otherwise(0)
+    took = pairs.filter("is_agent").groupBy(*CHUNK).agg(F.max(ms).alias("__longest"))
     return took.filter(c("__longest") != 0).select(*CHUNK, F.lit(True).alias("__timed"))
 
 
