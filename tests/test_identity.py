@@ -5,10 +5,12 @@ import os
 from conftest import assistant, call, collect, result, txt, user, write_lines
 from pyspark.sql import functions as F
 
+from turnweave.operators.catalogue import token_totals
 from turnweave.operators.entries import by_file, parse_entries, plain_ids
 from turnweave.plans.views import _keyed, session_catalogue, session_view
 from turnweave.sources import sidecars
 from turnweave.sources.transcripts import list_files, scan_transcripts
+from turnweave.streaming.live import session_updates
 
 T = "2026-01-01T00:00:{:02d}.000Z"
 NOW = "2026-01-01 00:10:00"
@@ -80,3 +82,8 @@ def test_views_of_one_id_with_saved_outputs(spark, tmp_path):
     ]
     read = collect(plain_ids(view.items).filter("tool_id = 't1'").select("project_key", "tool_result"), "project_key")
     assert read == [{"project_key": "p", "tool_result": "whole output of p"}, {"project_key": "q", "tool_result": "whole output of q"}]
+    totals = plain_ids(token_totals(by_file(entries), "live"))
+    updates = collect(session_updates(view, totals), "project_key")
+    assert [(u["project_key"], u["session_id"], u["message_count"], u["input_tokens"], u["permission_mode"]) for u in updates] == [
+        ("p", "s", 2, 100, "manual"), ("q", "s", 2, 7, "manual"),
+    ]
