@@ -33,4 +33,4 @@ QUERIES = {
     "pipeline": _pipeline,
 }
 
-SQL = {"op7_mixing": mixing.MIX_SQL, "op11_topk_search": topk_search.TOP_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}
+SQL = {"op4_jaccard_join": jaccard_join.JOIN_SQL, "op7_mixing": mixing.MIX_SQL, "op11_topk_search": topk_search.TOP_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}
