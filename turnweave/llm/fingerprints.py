@@ -51,10 +51,13 @@ def signatures(texts: DataFrame, key: list[str], samples: int = SAMPLES) -> Data
         r = -F.ln(unit(x, 0, 32) * unit(x, 32, 32))
         c = -F.ln(unit(y, 0, 21) * unit(y, 21, 21))
         b = unit(y, 42, 22)
+        # most terms occur once: then ln w = 0, t = 0, and neither a division nor a further hash is needed
+        once = F.col("lw") == 0
         t = F.floor(F.col("lw") / r + b)
-        a = F.ln(c) - r * (t - b + 1)
+        a = F.ln(c) - r * F.when(once, 1 - b).otherwise(t - b + 1)
         value = F.floor((F.greatest(a, F.lit(-float(LOW))) + LOW) * float(1 << FINE))
-        own = F.shiftleft(value, ID_BITS).bitwiseOR(F.xxhash64("h", t).bitwiseAND((1 << ID_BITS) - 1))
+        term = F.when(once, F.col("h")).otherwise(F.xxhash64("h", t))
+        own = F.shiftleft(value, ID_BITS).bitwiseOR(term.bitwiseAND((1 << ID_BITS) - 1))
         least.append(F.min(F.when(F.col("h").isNotNull(), own)).alias(f"m{j}"))
     parts = rows.groupBy(*key, "g").agg(*least)
     digits = F.concat_ws("", *[F.lpad(F.lower(F.hex(F.coalesce(f"m{j}", F.lit(0)))), 16, "0") for j in range(GROUP)])
