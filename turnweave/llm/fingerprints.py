@@ -56,7 +56,7 @@ def signatures(texts: DataFrame, key: list[str], samples: int = SAMPLES) -> Data
         t = F.floor(F.col("lw") / r + b)
         a = F.ln(c) - r * F.when(once, 1 - b).otherwise(t - b + 1)
         value = F.floor((F.greatest(a, F.lit(-float(LOW))) + LOW) * float(1 << FINE))
-        term = F.when(once, F.col("h")).otherwise(F.xxhash64("h", t))
+        term = F.when(once | (t == 0), F.col("h")).otherwise(F.xxhash64("h", t))  # one number for a term and its t
         own = F.shiftleft(value, ID_BITS).bitwiseOR(term.bitwiseAND((1 << ID_BITS) - 1))
         least.append(F.min(F.when(F.col("h").isNotNull(), own)).alias(f"m{j}"))
     parts = rows.groupBy(*key, "g").agg(*least)
