@@ -78,6 +78,46 @@ def test_templates_find_changed_parameters(spark):
     assert got == {0}
 
 
+def leaks(spark, items, texts):
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), b).collect()}
+
+
+def test_templates_find_names_that_open_sentences_or_have_several_words(spark):
+    item = "Anna has 12 apples. Bob buys 7 pears from her. How many are left when Anna gives Bob 2 of them?"
+    texts = [
+        "Mary Jane has 30 apples. Tom buys 4 pears from her. How many are left when Mary Jane gives Tom 3 of them?",
+        "Read this: Peter has 5 apples.\nLucy buys 1 pears from her. How many are left when Peter gives Lucy 9 of them?",
+        "Peter has 5 apples. Lucy buys 1 pears from her. How many are left when Lucy gives Peter 9 of them?",
+        item.upper(),
+        item.lower().replace("12", "13").replace(" ", "\n"),
+        "Anna has a garden. Bob buys bread from her. How are they when Anna gives Bob some of it?",
+    ]
+    got = leaks(spark, [item], texts)
+    assert got == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)}  # of the third, the windows before its names change places
+    slots = lambda t: [s(0) for _, h, s, _ in decontaminate.windows(t) if len(h)]
+    assert slots("Anna met Bob when Anna saw it") == slots("Mary Jane met Tom when Mary Jane saw it") != slots("Anna met Bob when Bob saw it")
+
+
+def test_short_items_and_windows_without_literal_words(spark):
+    items = ["What is 12 + 7?", "1 2 3 4 5 6 7", "Paris", "", None, "我有十二个苹果你有几个梨子"]
+    texts = ["so what IS 12 + 7 then", "what is 13 + 7", "0 1 2 3 4 5 6 7 8", "2 3 4 5 6 7 8", "Paris", "", None, "问：我有十二个苹果你有几个梨子？"]
+    assert leaks(spark, items, texts) == {(0, 0), (2, 1), (7, 5)}
+
+
+def test_leaks_of_odd_tables(spark):
+    """Empty tables, rows without id, repeated rows, long texts and columns called like inner ones."""
+    item = "the grey cat sat on 3 mats of the old house and slept until noon"
+    b = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (None, item, "z")], "item_id bigint, text string, h string")
+    rows = [(1, "a " * 200000 + item, 1), (1, "clean", 2), (None, item, 3), (2, item.replace("3", "5"), 4), (2, item, 4), (3, None, 5), (4, "", 6), (4, "", 6)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, _bad int")
+    got = decontaminate.decontaminate(d, b)
+    assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == [3, 4, 4]
+    report = decontaminate.leak_report(d, b)
+    assert sorted((r.doc_id or 0, r.contaminated, r.n_items) for r in report.collect()) == [(0, True, 2), (1, True, 2), (1, True, 2), (2, True, 2), (2, True, 2), (3, False, 0), (4, False, 0), (4, False, 0)]
+    assert decontaminate.decontaminate(d, b.limit(0)).count() == len(rows) and decontaminate.leak_report(d.limit(0), b).count() == 0
+
+
 def test_chain_and_alignment():
     a, b = np.array([0, 5, 9, 20]), np.array([100, 105, 3, 120])
     assert sorted(map(sorted, chains(a, b)))[0][:2] == [0, 1]

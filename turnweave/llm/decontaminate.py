@@ -2,12 +2,18 @@
 
 Numbers, names and units become typed placeholders; windows of 12 template words (items with fewer: the whole
 item, of 4 words at least) are hash-joined with those of the benchmark. A window counts if its slots
-are consistent: equal values in the item stand for equal values in the text and the other way round. A Bloom
+are consistent: equal values in the item stand for equal values in the text and the other way round.
+
+Every text is read twice, as one can't tell a name that opens a sentence from any other word there: once with each
+run of capitalised words as one name, wherever it stands, and once with names as plain words in lower case, which finds
+copies in other case. A window with too few literal words must have the very slot values of the item. A Bloom
 filter of fixed size spares windows that no item has; it drops none that match, whatever the size.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 import regex
@@ -19,53 +25,110 @@ from turnweave.llm.common import _U, mix, stage
 
 WINDOW, SHORTEST, LITERAL = 12, 4, 3
 FILTER_WORDS = 1 << 17  # 64-bit words of the filter: one MB at every size; a power of two
-TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+(?:['’][\p{L}]+)*|[%$€£°]|[.!?\n:]")
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"  # a character of these scripts is a word
+TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|" + UNSPACED + r"\p{M}*|[[\p{L}\p{M}]--" + UNSPACED + r"]+(?:['’]\p{L}+)*|[%$€£°]", regex.V1)
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years % $ € £ ° usd eur dollars euros cents meters metres miles feet inches grams kilograms pounds liters litres".split())
-BREAK, NUMBER, UNIT, CAPITAL = (_U(1 << i) for i in range(4))  # low bits of a token's code; the others are its hash
+NUMBER, UNIT, CAPITAL, APART = (_U(1 << i) for i in range(4))  # low bits of a token's code; the others are its hash
 KINDS = _U(15)
 HOLDERS = [_U(16 * (i + 1)) for i in range(3)]  # <number>, <unit>, <name>
 BASE = _U(0x9E3779B97F4A7C15)
-
-
-class _Codes(dict):
-    def __missing__(self, w: str) -> int:
-        low = w.lower()
-        kind = int(BREAK) * (w in ".!?\n:") | int(NUMBER) * w[0].isdigit() | int(UNIT) * (low in UNITS) | int(CAPITAL) * w[0].isupper()
-        self[w] = code = (xxhash.xxh64_intdigest(low) & ~15) | kind
-        return code
-
-
-_CODES = _Codes()
-
-
-def template(text: str | None):
+HELD = 1 << 20  # tokens of known pieces a worker keeps
+
+
+class _Pieces(dict):
+    """Number of each piece of text between spaces; its tokens and their codes are found once."""
+
+    def __init__(self):
+        self.tokens, self.codes, self.first = [], array("Q"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        end = 0
+        for m in TOKEN.finditer(piece):
+            w = m[0]
+            low = w.lower()
+            kind = int(NUMBER) * w[0].isdigit() | int(UNIT) * (low in UNITS) | int(CAPITAL) * w[0].isupper()
+            # a mark other than a hyphen before a token keeps it apart from the name before
+            kind |= int(APART) * (piece[end : m.start()].strip("-") != "")
+            self.tokens.append(w)
+            self.codes.append((xxhash.xxh64_intdigest(low) & ~15) | kind)
+            end = m.end()
+        if piece[end:]:  # a mark at the end keeps the next piece apart: a token without word
+            self.tokens.append("")
+            self.codes.append(0)
+        self.first.append(len(self.tokens))
+        self[piece] = n = len(self.first) - 2
+        return n
+
+
+_PIECES = _Pieces()
+
+
+def read(text: str | None):
+    """(codes of the words, whether a mark stands before each, function from a place to its word)."""
+    global _PIECES
+    if len(_PIECES.tokens) + len(_PIECES) > HELD:
+        _PIECES = _Pieces()
+    held, pieces = _PIECES, (text or "").split()
+    no = np.fromiter(map(held.__getitem__, pieces), np.int64, len(pieces))
+    first = np.frombuffer(held.first, np.int64)
+    begin, size = first[no], first[no + 1] - first[no]
+    source = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+    code = np.frombuffer(held.codes, _U)[source] if len(source) else np.zeros(0, _U)
+    mark = code == 0
+    apart = ((code & APART) > 0) | np.concatenate(([True], mark[:-1]))[: len(code)]
+    source, tokens = source[~mark], held.tokens
+    return code[~mark], apart[~mark], lambda i: tokens[source[i]]
+
+
+def template(code, apart, word, names: bool):
     """(hash of each template word, whether it is a slot, function from a place to its slot's value).
 
-    A name is a capitalised word within a sentence, a unit a word of the list after a number."""
-    if len(_CODES) > 1 << 18:
-        _CODES.clear()
-    tokens = TOKEN.findall(text or "")
-    code = np.fromiter(map(_CODES.__getitem__, tokens), _U, len(tokens))
-    at = np.flatnonzero((code & BREAK) == 0)
-    code = code[at]
+    With ``names``, a run of capitalised words without marks between is one name; a unit is a word of the list after a number."""
     number = (code & NUMBER) > 0
-    unit = ((code & UNIT) > 0) & ~number & np.concatenate(([False], number[:-1]))[: len(at)]
-    inner = np.diff(at, prepend=-9) == 1
-    inner[:1] = False
-    name = ((code & CAPITAL) > 0) & inner & ~number & ~unit
+    unit = ((code & UNIT) > 0) & ~number & np.concatenate(([False], number[:-1]))[: len(code)]
+    name = ((code & CAPITAL) > 0) & ~number & ~unit & names
+    go_on = name & ~apart & np.concatenate(([False], name[:-1]))[: len(code)]
+    start = np.flatnonzero(~go_on)
+    end = np.append(start[1:], len(code))
     h = np.select([number, unit, name], HOLDERS, code & ~KINDS)
-    return h, number | unit | name, lambda i: tokens[at[i]].lower() if unit[i] else tokens[at[i]]
-
 
-def windows(text, lengths):
-    """Of each length that fits: (length, hashes by place, words that are literal by place, slots of a place)."""
-    h, slot, value = template(text)
-    plain = np.concatenate(([0], np.cumsum(~slot)))
-    acc = np.zeros(len(h) + 1, _U)
-    for n in range(1, min(max(lengths, default=0), len(h)) + 1):
-        acc = acc[:-1] * BASE + h[n - 1 :]
-        if n in lengths:
-            yield n, mix(acc), plain[n:] - plain[:-n], lambda i, n=n: _values([value(j) for j in range(i, i + n) if slot[j]])
+    def value(i):
+        got = " ".join(word(j) for j in range(start[i], end[i]))
+        return got.lower() if unit[start[i]] else got
+
+    return h[start], (number | unit | name)[start], value
+
+
+def windows(text, lengths=None):
+    """Of each length and both readings: (length, hashes by place, slots of a place).
+
+    Without ``lengths``, those of an item: WINDOW, or its own if it is shorter, but not under SHORTEST.
+    Windows with under LITERAL literal words have hashes of their words as they are in place of placeholders."""
+    code, apart, word = read(text)
+    for names in (True, False) if ((code & CAPITAL) > 0).any() else (False,):
+        h, slot, value = template(code, apart, word, names)
+        sizes = lengths
+        if sizes is None:
+            n = min(WINDOW, len(h))
+            sizes = [n] if n >= SHORTEST else []
+        plain = np.concatenate(([0], np.cumsum(~slot)))
+        acc, exact = np.zeros(len(h) + 1, _U), None
+        if not names and slot.any():
+            exact = acc
+        for n in range(1, min(max(sizes, default=0), len(h)) + 1):
+            acc = acc[:-1] * BASE + h[n - 1 :]
+            if exact is not None:
+                exact = exact[:-1] * BASE + (code[n - 1 :] & ~KINDS)
+            if n not in sizes:
+                continue
+            few = plain[n:] - plain[:-n] < LITERAL
+            place = np.flatnonzero(~few) if names else np.arange(len(acc))
+            key = acc[place] if exact is None else np.where(few, exact ^ BASE, acc)
+
+            def slots(i, n=n, few=few, place=place, slot=slot, value=value):
+                return "" if few[place[i]] else _values([value(j) for j in range(place[i], place[i] + n) if slot[j]])
+
+            yield n, mix(key), slots, place
 
 
 def _values(slots) -> str:
@@ -82,8 +145,8 @@ def _bits(h: np.ndarray):
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, windows): pairs with a consistent window, and how many places of the text match.
 
-    Null or empty texts and items match nothing. Rows of one id add up. Items under 4 template words
-    and windows with under 3 literal words are no evidence and are not sought.
+    Null or empty texts and items match nothing. Rows of one id add up. An item that has under 4 words in a reading
+    is no evidence in it. Places are those of the words of a reading; a place found in both counts once.
     """
     spark = docs.sparkSession
 
@@ -91,9 +154,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for k, t in zip(f.item_id, f.text):
-                n = min(WINDOW, len(template(t)[0]))
-                for size, acc, plain, slots in windows(t, [n] if n >= SHORTEST else []):
-                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, size, slots(i)) for i in range(len(acc)) if plain[i] >= LITERAL]
+                for size, acc, slots, _ in windows(t):
+                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, size, slots(i)) for i in range(len(acc))]
             yield pd.DataFrame(rows, columns=["h", "item_id", "n", "slots"])
 
     kind = dict(benchmark.dtypes)["item_id"]
@@ -115,11 +177,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for k, t in zip(f.doc_id, f.text):
-                for size, acc, plain, slots in windows(t, lengths):
-                    ok = plain >= LITERAL
+                for size, acc, slots, place in windows(t, lengths):
+                    ok = np.ones(len(acc), bool)
                     for b in _bits(acc):
                         ok &= (shared.value[b >> 6] >> (b & 63).astype(_U)) & _U(1) > 0
-                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, int(i), size, slots(int(i))) for i in np.flatnonzero(ok)]
+                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, int(place[i]), size, slots(int(i))) for i in np.flatnonzero(ok)]
             yield pd.DataFrame(rows, columns=["h", "doc_id", "at", "n", "slots"])
 
     found = docs.select("doc_id", "text").mapInPandas(seek, "h bigint, doc_id bigint, at int, n int, slots string")
