@@ -32,6 +32,7 @@ NUMBER, UNIT, CAPITAL, APART = (_U(1 << i) for i in range(4))  # low bits of a t
 KINDS = _U(15)
 HOLDERS = [_U(16 * (i + 1)) for i in range(3)]  # <number>, <unit>, <name>
 BASE = _U(0x9E3779B97F4A7C15)
+MARKS = ".,;:!?()[]{}\"'“”‘’«»…*_#"
 HELD = 1 << 20  # tokens of known pieces a worker keeps
 
 
@@ -42,23 +43,30 @@ class _Pieces(dict):
         self.tokens, self.codes, self.first = [], array("Q"), array("q", [0])
 
     def __missing__(self, piece: str) -> int:
-        end = 0
-        for m in TOKEN.finditer(piece):
-            w = m[0]
-            low = w.lower()
-            kind = int(NUMBER) * w[0].isdigit() | int(UNIT) * (low in UNITS) | int(CAPITAL) * w[0].isupper()
-            # a mark other than a hyphen before a token keeps it apart from the name before
-            kind |= int(APART) * (piece[end : m.start()].strip("-") != "")
-            self.tokens.append(w)
-            self.codes.append((xxhash.xxh64_intdigest(low) & ~15) | kind)
-            end = m.end()
-        if piece[end:]:  # a mark at the end keeps the next piece apart: a token without word
+        core = piece.strip(MARKS)
+        if core.isalpha() and max(core) < "\u0e00":  # one word of a script with spaces: most pieces
+            self._add(core, not piece.startswith(core))
+            tail = not piece.endswith(core)
+        else:
+            end = 0
+            for m in TOKEN.finditer(piece):
+                self._add(m[0], piece[end : m.start()].strip("-") != "")
+                end = m.end()
+            tail = end < len(piece)
+        if tail:  # a mark at the end keeps the next piece apart: a token without word
             self.tokens.append("")
             self.codes.append(0)
         self.first.append(len(self.tokens))
         self[piece] = n = len(self.first) - 2
         return n
 
+    def _add(self, w: str, apart: bool):
+        """A token; a mark other than a hyphen keeps it apart from the name before."""
+        low = w.lower()
+        kind = w[0].isdigit() | (low in UNITS) << 1 | w[0].isupper() << 2 | apart << 3  # NUMBER, UNIT, CAPITAL, APART
+        self.tokens.append(w)
+        self.codes.append((xxhash.xxh64_intdigest(low) & ~15) | kind)
+
 
 _PIECES = _Pieces()
 
@@ -85,18 +93,46 @@ def template(code, apart, word, names: bool):
 
     With ``names``, a run of capitalised words without marks between is one name; a unit is a word of the list after a number."""
     number = (code & NUMBER) > 0
-    unit = ((code & UNIT) > 0) & ~number & np.concatenate(([False], number[:-1]))[: len(code)]
-    name = ((code & CAPITAL) > 0) & ~number & ~unit & names
-    go_on = name & ~apart & np.concatenate(([False], name[:-1]))[: len(code)]
+    unit = ((code & UNIT) > 0) & ~number
+    unit[1:] &= number[:-1]
+    unit[:1] = False
+    slot, h = number | unit, code & ~KINDS
+    h[number], h[unit] = HOLDERS[:2]
+    if not names:
+        return h, slot, lambda i: word(i).lower() if unit[i] else word(i)
+    name = ((code & CAPITAL) > 0) & ~slot
+    h[name] = HOLDERS[2]
+    go_on = name & ~apart
+    go_on[1:] &= name[:-1]
+    go_on[:1] = False
     start = np.flatnonzero(~go_on)
     end = np.append(start[1:], len(code))
-    h = np.select([number, unit, name], HOLDERS, code & ~KINDS)
 
     def value(i):
         got = " ".join(word(j) for j in range(start[i], end[i]))
         return got.lower() if unit[start[i]] else got
 
-    return h[start], (number | unit | name)[start], value
+    return h[start], (slot | name)[start], value
+
+
+def _powers(n: int):
+    """Powers of BASE and of its inverse, n of each at least."""
+    global _UP, _DOWN
+    if len(_UP) < n:
+        _UP, _DOWN = (np.cumprod(np.concatenate(([_U(1)], np.full(2 * n, b, _U)))) for b in (BASE, _U(pow(int(BASE), -1, 1 << 64))))
+    return _UP, _DOWN
+
+
+_UP = _DOWN = np.ones(1, _U)
+
+
+def _sums(h):
+    """Sums of all words before each place, by which any run's hash is a difference."""
+    return np.concatenate(([_U(0)], np.cumsum(h * _powers(len(h) + 1)[0][: len(h)])))
+
+
+def _runs(sums, n):
+    return (sums[n:] - sums[:-n]) * _powers(len(sums))[1][: len(sums) - n]
 
 
 def windows(text, lengths=None):
@@ -112,18 +148,19 @@ def windows(text, lengths=None):
             n = min(WINDOW, len(h))
             sizes = [n] if n >= SHORTEST else []
         plain = np.concatenate(([0], np.cumsum(~slot)))
-        acc, exact = np.zeros(len(h) + 1, _U), None
-        if not names and slot.any():
-            exact = acc
-        for n in range(1, min(max(sizes, default=0), len(h)) + 1):
-            acc = acc[:-1] * BASE + h[n - 1 :]
-            if exact is not None:
-                exact = exact[:-1] * BASE + (code[n - 1 :] & ~KINDS)
-            if n not in sizes:
+        sums = _sums(h)
+        for n in sizes:
+            if n > len(h):
                 continue
             few = plain[n:] - plain[:-n] < LITERAL
-            place = np.flatnonzero(~few) if names else np.arange(len(acc))
-            key = acc[place] if exact is None else np.where(few, exact ^ BASE, acc)
+            key, place = _runs(sums, n), None
+            if few.any():
+                if names:
+                    place = np.flatnonzero(~few)
+                    key = key[place]
+                else:
+                    key = np.where(few, _runs(_sums(code & ~KINDS), n) ^ BASE, key)
+            place = np.arange(len(key)) if place is None else place
 
             def slots(i, n=n, few=few, place=place, slot=slot, value=value):
                 return "" if few[place[i]] else _values([value(j) for j in range(place[i], place[i] + n) if slot[j]])
@@ -137,9 +174,12 @@ def _values(slots) -> str:
     return ",".join(str(seen.setdefault(s, len(seen))) for s in slots)
 
 
-def _bits(h: np.ndarray):
-    top = _U(FILTER_WORDS * 64 - 1)
-    return [(x & top).astype(np.int64) for x in (h, h >> _U(32))]
+SHIFTS = (_U(0), _U(32))
+
+
+def _bit(h: np.ndarray, shift) -> np.ndarray:
+    """Bit of the filter of each hash."""
+    return ((h >> shift) & _U(FILTER_WORDS * 64 - 1)).astype(np.int64)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -165,7 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def bits(frames):
         for f in frames:
-            b = np.concatenate(_bits(f.h.to_numpy().view(_U))) if len(f) else np.zeros(0, np.int64)
+            b = np.concatenate([_bit(f.h.to_numpy(np.int64).view(_U), x) for x in SHIFTS])
             yield pd.DataFrame({"w": b >> 6, "b": b & 63})
 
     held = np.zeros(FILTER_WORDS, _U)
@@ -178,10 +218,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             rows = []
             for k, t in zip(f.doc_id, f.text):
                 for size, acc, slots, place in windows(t, lengths):
-                    ok = np.ones(len(acc), bool)
-                    for b in _bits(acc):
-                        ok &= (shared.value[b >> 6] >> (b & 63).astype(_U)) & _U(1) > 0
-                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, int(place[i]), size, slots(int(i))) for i in np.flatnonzero(ok)]
+                    ok = np.arange(len(acc))
+                    for shift in SHIFTS:
+                        b = _bit(acc[ok], shift)
+                        ok = ok[(shared.value[b >> 6] >> (b & 63).astype(_U)) & _U(1) > 0]
+                    rows += [(int(acc[i : i + 1].view(np.int64)[0]), k, int(place[i]), size, slots(int(i))) for i in ok]
             yield pd.DataFrame(rows, columns=["h", "doc_id", "at", "n", "slots"])
 
     found = docs.select("doc_id", "text").mapInPandas(seek, "h bigint, doc_id bigint, at int, n int, slots string")
