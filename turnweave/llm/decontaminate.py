@@ -40,13 +40,14 @@ class _Pieces(dict):
     """Number of each piece of text between spaces; its tokens and their codes are found once."""
 
     def __init__(self):
-        self.tokens, self.codes, self.first = [], array("Q"), array("q", [0])
+        self.words, self.tokens, self.codes, self.first = {}, [], array("Q"), array("q", [0])
 
     def __missing__(self, piece: str) -> int:
         core = piece.strip(MARKS)
-        if core.isalpha() and max(core) < "\u0e00":  # one word of a script with spaces: most pieces
-            self._add(core, not piece.startswith(core))
-            tail = not piece.endswith(core)
+        if core.isalpha() and (core.isascii() or max(core) < "\u0e00"):  # one word of a script with spaces: most pieces
+            bare = len(core) == len(piece)
+            self._add(core, not (bare or piece.startswith(core)))
+            tail = not (bare or piece.endswith(core))
         else:
             end = 0
             for m in TOKEN.finditer(piece):
@@ -63,9 +64,11 @@ class _Pieces(dict):
     def _add(self, w: str, apart: bool):
         """A token; a mark other than a hyphen keeps it apart from the name before."""
         low = w.lower()
-        kind = w[0].isdigit() | (low in UNITS) << 1 | w[0].isupper() << 2 | apart << 3  # NUMBER, UNIT, CAPITAL, APART
+        base = self.words.get(low)
+        if base is None:
+            self.words[low] = base = (xxhash.xxh64_intdigest(low) & ~15) | low[0].isdigit() * int(NUMBER) | (low in UNITS) * int(UNIT)
         self.tokens.append(w)
-        self.codes.append((xxhash.xxh64_intdigest(low) & ~15) | kind)
+        self.codes.append(base | (apart and int(APART)) | (w[0].isupper() and int(CAPITAL)))
 
 
 _PIECES = _Pieces()
@@ -154,18 +157,17 @@ def windows(text, lengths=None):
                 continue
             few = plain[n:] - plain[:-n] < LITERAL
             key, place = _runs(sums, n), None
-            if few.any():
-                if names:
-                    place = np.flatnonzero(~few)
-                    key = key[place]
-                else:
-                    key = np.where(few, _runs(_sums(code & ~KINDS), n) ^ BASE, key)
-            place = np.arange(len(key)) if place is None else place
+            if names:
+                place = np.flatnonzero(~few)
+                key = key[place]
+            elif few.any():
+                key = np.where(few, _runs(_sums(code & ~KINDS), n) ^ BASE, key)
 
             def slots(i, n=n, few=few, place=place, slot=slot, value=value):
-                return "" if few[place[i]] else _values([value(j) for j in range(place[i], place[i] + n) if slot[j]])
+                at = i if place is None else place[i]
+                return "" if few[at] else _values([value(j) for j in range(at, at + n) if slot[j]])
 
-            yield n, mix(key), slots, place
+            yield n, mix(key), slots, range(len(key)) if place is None else place
 
 
 def _values(slots) -> str:
