@@ -1,8 +1,8 @@
 """Consistent weighted sampling of word counts, in DataFrame functions only.
 
-For term k of weight w and sample j: r, c from Gamma(2, 1) and b uniform, all from hashes of (k, j);
-t = floor(ln w / r + b), a = ln c - r (t - b) - r. The term of the least a, with its t, is the sample. Two
-texts agree in a sample with the probability of their generalised Jaccard similarity.
+A word that occurs n times is n units, its first to its nth. A sample is the unit of least hash, so a word is drawn by its
+weight, and a smaller count has the first units of a larger one: two texts agree in a sample with the probability of
+their generalised Jaccard similarity. Counts are whole numbers, so units need no logarithms or divisions.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from turnweave.llm.common import WORD
 
 SAMPLES = 64
-GROUP = 8  # samples computed together, so that the generated code stays small
-LOW, FINE, ID_BITS = 512, 26, 27  # a sample's value a > -512 in steps of 2^-26, then 27 bits of its term
+GROUP = 16  # samples computed together, so that the generated code stays small
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -37,28 +36,14 @@ def next_ids(docs: DataFrame) -> DataFrame:
 def signatures(texts: DataFrame, key: list[str], samples: int = SAMPLES) -> DataFrame:
     """key and fingerprint of each row's text ``t``; rows of a key must lie together already.
 
-    A sample is one whole number, its value in the upper bits and the term in the lower ones, so that the least of a text is a
-    plain minimum; equal samples come from equal terms and counts.
+    A sample is the least hash of a unit; words are counted by their hash, so no text takes part in a grouping.
     """
     words = texts.select(*key, F.explode_outer(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0))).alias("w"))
-    terms = words.groupBy(*key, "w").agg(F.ln(F.count("w")).alias("lw"))
-    hashed = terms.select(*key, F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("h"), "lw")
-    rows = hashed.select(*key, "h", "lw", F.explode(F.array(*[F.lit(g) for g in range(-(-samples // GROUP))])).alias("g"))
-    unit = lambda x, shift, bits: (F.shiftrightunsigned(x, shift).bitwiseAND((1 << bits) - 1) + F.lit(0.5)) / float(1 << bits)
-    least = []
-    for j in range(GROUP):
-        x, y = F.xxhash64("h", "g", F.lit(2 * j)), F.xxhash64("h", "g", F.lit(2 * j + 1))
-        r = -F.ln(unit(x, 0, 32) * unit(x, 32, 32))
-        c = -F.ln(unit(y, 0, 21) * unit(y, 21, 21))
-        b = unit(y, 42, 22)
-        # most terms occur once: then ln w = 0, t = 0, and neither a division nor a further hash is needed
-        once = F.col("lw") == 0
-        t = F.floor(F.col("lw") / r + b)
-        a = F.ln(c) - r * F.when(once, 1 - b).otherwise(t - b + 1)
-        value = F.floor((F.greatest(a, F.lit(-float(LOW))) + LOW) * float(1 << FINE))
-        term = F.when(once | (t == 0), F.col("h")).otherwise(F.xxhash64("h", t))  # one number for a term and its t
-        own = F.shiftleft(value, ID_BITS).bitwiseOR(term.bitwiseAND((1 << ID_BITS) - 1))
-        least.append(F.min(F.when(F.col("h").isNotNull(), own)).alias(f"m{j}"))
+    terms = words.select(*key, F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("h")).groupBy(*key, "h").agg(F.count("h").alias("n"))
+    units = terms.select(*key, "h", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n", F.lit(1)))).alias("i"))
+    units = units.select(*key, F.when(F.col("h").isNotNull(), F.xxhash64("h", "i")).alias("unit"))
+    rows = units.select(*key, "unit", F.explode(F.array(*[F.lit(g) for g in range(-(-samples // GROUP))])).alias("g"))
+    least = [F.min(F.when(F.col("unit").isNotNull(), F.xxhash64("unit", "g", F.lit(j)))).alias(f"m{j}") for j in range(GROUP)]
     parts = rows.groupBy(*key, "g").agg(*least)
     digits = F.concat_ws("", *[F.lpad(F.lower(F.hex(F.coalesce(f"m{j}", F.lit(0)))), 16, "0") for j in range(GROUP)])
     joined = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("g", digits.alias("d")))).alias("all"))
@@ -78,24 +63,24 @@ def fingerprint_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     Null text is empty; texts without words have the fingerprint of zeros. Rows without an id are left out;
     of rows with one id the least text counts, so that "the next document" is defined.
     """
-    from turnweave.llm.common import stage
+    from turnweave.llm.common import release, stage
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).filter("doc_id is not null")
     links = stage(next_ids(d), "next")
+    release(docs.sparkSession)
     own = d.groupBy("doc_id").agg(F.min("t").alias("t"))
     given = links.selectExpr("next_id doc_id", "doc_id owner", "half")
     parts = own.join(given, "doc_id").selectExpr("owner doc_id", "substring(t, 1, half) head")
     whole = own.join(parts, "doc_id").withColumn("n", F.length("t"))
     edited = F.concat(F.expr("substring(t, 1, n - n div 2)"), F.col("head"))
     whole = whole.select("doc_id", F.col("n").cast("long").alias("n_chars"), "t", edited.alias("edited"))
-    both = whole.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t")))).alias("x"), "n_chars")
-    both = both.select("doc_id", "x.e", "x.t", "n_chars", F.when(F.col("x.e") == 1, F.sha2("x.t", 256)).alias("sha"))
-    prints = signatures(both.select("doc_id", "e", "n_chars", "sha", "t"), ["doc_id", "e", "n_chars", "sha"], samples)
-    one = prints.groupBy("doc_id").agg(
-        F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"),
+    both = whole.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t")))).alias("x"))
+    prints = signatures(both.select("doc_id", "x.e", "x.t"), ["doc_id", "e"], samples).groupBy("doc_id").agg(
         F.max(F.when(F.col("e") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("e") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
     )
+    one = whole.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(prints, "doc_id")
     one = stage(one, "prints")
+    release(docs.sparkSession)
     nxt = links.select("doc_id", "next_id").join(one.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("nf")), "next_id")
     out = one.join(nxt, "doc_id")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "nf", samples).alias("near_next"))
