@@ -78,9 +78,12 @@ def fingerprint_report(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     prints = signatures(both.select("doc_id", "x.e", "x.t"), ["doc_id", "e"], samples).groupBy("doc_id").agg(
         F.max(F.when(F.col("e") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("e") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
     )
+    prints = prints.select("doc_id", *[F.unhex(x).alias(x) for x in ("fingerprint", "edited_fingerprint")])  # half as wide as the digits
     one = whole.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(prints, "doc_id")
     one = stage(one, "prints")
+    del prints, both, whole, parts, own
     release(docs.sparkSession)
     nxt = links.select("doc_id", "next_id").join(one.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("nf")), "next_id")
-    out = one.join(nxt, "doc_id")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "nf", samples).alias("near_next"))
+    out = one.join(nxt, "doc_id").select("doc_id", "n_chars", "edited_sha256", *[F.lower(F.hex(x)).alias(x) for x in ("fingerprint", "edited_fingerprint", "nf")])
+    near = [likeness("fingerprint", x, samples).alias(y) for x, y in (("edited_fingerprint", "near_edited"), ("nf", "near_next"))]
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
